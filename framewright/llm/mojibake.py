@@ -195,6 +195,8 @@ def _cyrillic_layer(text: str, sure: bool = False) -> tuple[str, str] | None:
     if not runs or max(map(len, runs)) < 5 and len(runs) < 2:
         return None
     sample = " ".join(runs)
+    if sum(ch in "ÃÂÐÑ" for ch in sample) > 0.3 * len(sample):  # lead bytes of UTF-8
+        return None
     raw = sample.translate(_as_bytes("cp1252"))
     if "￿" in raw:
         return None

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewright.llm.crosssplit import overlaps, per_split
+from framewright.llm.lookalike import corpus_patterns, same_looking, with_consistent
 from framewright.llm.mojibake import repair_texts
+from framewright.llm.tokens import encode
 from framewright.plans.tables import table
 
 QUERIES: dict = {}
@@ -30,3 +33,37 @@ def p9_found(spark, d):
 def p9_restored(spark, d):
     found = repair_texts(table(spark, d, "documents").select("doc_id", "text")).where("garbled")
     return found.select("doc_id", "restored", "restored_text", F.array_join("layers", " | ").alias("layers"))
+
+
+@query("p7_ids")
+def p7_ids(spark, d):
+    return encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _patterns(recog, transcription):
+    return corpus_patterns([recog, transcription])
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    recog, transcription = table(spark, d, "recog"), table(spark, d, "transcription")
+    return same_looking(recog, transcription, _patterns(recog, transcription))
+
+
+@query("p4_texts")
+def p4_texts(spark, d):
+    recog, transcription = table(spark, d, "recog"), table(spark, d, "transcription")
+    both = recog.select(F.lit("recog").alias("in_table"), F.col("recog_id").cast("string").alias("row_key"), "text")
+    both = both.unionByName(transcription.select(F.lit("transcription").alias("in_table"), F.col("utt_id").alias("row_key"), "text"))
+    return with_consistent(both, {"text": "consistent_text"}, _patterns(recog, transcription)).drop("text")
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return overlaps(table(spark, d, "encoder_archive"))
+
+
+@query("p6_report")
+def p6_report(spark, d):
+    archive = table(spark, d, "encoder_archive")
+    return per_split(overlaps(archive), archive)
