@@ -5,14 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _STAGED: dict[str, set[str]] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it."""
+    if (app := spark.sparkContext.applicationId) in _SHIPPED:
+        return
+    import framewright
+
+    package = Path(framewright.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="framewright-")) / "framewright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"framewright/{f.relative_to(package)}")
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
