@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewright.llm import mixing, splits, tokens
 from framewright.llm.crosssplit import overlaps, per_split
 from framewright.llm.lookalike import corpus_patterns, same_looking, with_consistent
 from framewright.llm.mojibake import repair_texts
@@ -67,3 +68,45 @@ def p6_found(spark, d):
 def p6_report(spark, d):
     archive = table(spark, d, "encoder_archive")
     return per_split(overlaps(archive), archive)
+
+
+FILLED = "('" + "','".join(splits.FILLERS) + "')"
+TIES = rf"""ties AS (SELECT DISTINCT rec_id, t FROM (
+  SELECT rec_id, 'speaker:' || lower(trim(speaker_id)) AS t FROM recordings WHERE lower(trim(speaker_id)) NOT IN {FILLED}
+  UNION ALL SELECT rec_id, 'session:' || session_id FROM recordings WHERE lower(trim(session_id)) NOT IN {FILLED}
+  UNION ALL SELECT rec_id, 'file:' || CASE WHEN audio_path LIKE '%|' THEN regexp_extract(audio_path, '(/[^ |]+)', 1) ELSE trim(audio_path) END
+    FROM recordings WHERE audio_path IS NOT NULL AND trim(audio_path) <> '') WHERE rec_id IS NOT NULL),
+edges AS (SELECT DISTINCT a.rec_id AS x, b.rec_id AS y FROM ties a JOIN ties b ON a.t = b.t AND a.rec_id <> b.rec_id)"""
+
+
+@query("p1_found", f"""WITH RECURSIVE {TIES},
+reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT min(y) AS group_rec_id, x AS rec_id FROM reach GROUP BY x HAVING min(y) < x""")
+def p1_found(spark, d):
+    groups = splits.tied_groups(table(spark, d, "recordings"))
+    return groups.where("group_rec_id <> rec_id").select("group_rec_id", "rec_id")
+
+
+@query("p1_splits")
+def p1_splits(spark, d):
+    return splits.split_segments(table(spark, d, "segments"), table(spark, d, "recordings"))
+
+
+@query("p1_shares")
+def p1_shares(spark, d):
+    return splits.shares(p1_splits(spark, d))
+
+
+def _mixed(spark, d):
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return mixing.mix(tokens.count(documents).drop("text"), table(spark, d, "mix_targets"))
+
+
+@query("p8_mix")
+def p8_mix(spark, d):
+    return _mixed(spark, d)
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
