@@ -1,3 +1,3 @@
 """Queries of the core."""
 
-from framewright.queries import align, data_problems, metrics, text  # noqa: F401
+from framewright.queries import align, data_problems, frames, joins, metrics, text  # noqa: F401
