@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ HOP = 0.02
 TOKEN_FRAME = 0.08
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. Inside a lambda any other expression from outside is computed at each step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def none(kind: str = "array<int>") -> Column:
     return F.array().cast(kind)
 
@@ -28,20 +35,29 @@ def to_frame(seconds: Column, hop: float = HOP) -> Column:
 
 
 def paint(events: Column, frames: Column, hop: float = HOP) -> Column:
-    """events array<struct<label,start,end>> -> a label per frame: the largest of those whose [ceil(start), ceil(end)) holds it, else 0."""
-    at = F.transform(events, lambda e: F.struct(e["label"].alias("l"), to_frame(e["start"], hop).alias("a"), to_frame(e["end"], hop).alias("z")))
-    return F.transform(span(F.lit(0), frames), lambda f: F.coalesce(F.array_max(F.transform(F.filter(at, lambda e: (e["a"] <= f) & (f < e["z"])), lambda e: e["l"])), F.lit(0)).cast("int"))
+    """events array<struct<label,start,end>> -> a label per frame: the largest of those whose [ceil(start), ceil(end)) holds it, else 0.
+
+    Whole stretches are laid over an array of zeros in the order of their labels.
+    """
+    clamp = lambda f: F.greatest(F.lit(0), F.least(f, frames))
+    at = F.array_sort(F.transform(events, lambda e: F.struct(e["label"].cast("int").alias("l"), clamp(to_frame(e["start"], hop)).alias("a"), clamp(to_frame(e["end"], hop)).alias("z"))))
+
+    def lay(acc: Column, e: Column) -> Column:
+        over = F.concat(F.slice(acc, F.lit(1), e["a"]), F.array_repeat(e["l"], e["z"] - e["a"]), F.slice(acc, e["z"] + 1, F.size(acc) - e["z"]))
+        return F.when(e["z"] > e["a"], over).otherwise(acc)
+
+    return F.aggregate(at, F.array_repeat(F.lit(0), frames), lay)
 
 
 def first_applied(events: Column, frames: Column, overwriting: tuple[int, ...] = (4, 5), hop: float = HOP) -> Column:
     """The other priority: in the order applied, a label only takes frames that are still 0, except those that overwrite."""
-    at = F.transform(events, lambda e: F.struct(e["label"].alias("l"), to_frame(e["start"], hop).alias("a"), to_frame(e["end"], hop).alias("z")))
+    events_at = F.transform(events, lambda e: F.struct(e["label"].alias("l"), to_frame(e["start"], hop).alias("a"), to_frame(e["end"], hop).alias("z")))
 
-    def fold(f: Column) -> Column:
+    def fold(f: Column, at: Column) -> Column:
         hits = F.filter(at, lambda e: (e["a"] <= f) & (f < e["z"]))
         return F.aggregate(hits, F.lit(0), lambda acc, e: F.when((acc == 0) | e["l"].isin(*overwriting), e["l"]).otherwise(acc))
 
-    return F.transform(span(F.lit(0), frames), fold)
+    return let(events_at, lambda at: F.transform(span(F.lit(0), frames), lambda f: fold(f, at)))
 
 
 def zeros(n: Column) -> Column:
@@ -54,10 +70,8 @@ def dominance(snr: Column, threshold: float = 10.0, louder: int = 1, room: int =
 
 def downsample(labels: Column, ratio: int = 4, method: str = "majority") -> Column:
     """Windows of ``ratio`` frames, the last may be short: the first, the largest or the most frequent label (the smallest of several)."""
-    n = F.ceil(F.size(labels) / ratio).cast("int")
 
-    def window(k: Column) -> Column:
-        w = F.slice(labels, k * ratio + 1, F.lit(ratio))
+    def window(w: Column) -> Column:
         if method == "first":
             return F.get(w, F.lit(0))
         if method == "max":
@@ -65,21 +79,26 @@ def downsample(labels: Column, ratio: int = 4, method: str = "majority") -> Colu
         votes = F.transform(F.array_distinct(w), lambda x: F.struct(F.size(F.filter(w, lambda y: y == x)).alias("n"), (-x).alias("l")))
         return -F.array_max(votes)["l"]
 
-    return F.transform(span(F.lit(0), n), window)
+    def windows(ls: Column) -> Column:
+        n = F.ceil(F.size(ls) / ratio).cast("int")
+        return F.transform(F.transform(span(F.lit(0), n), lambda k: F.slice(ls, k * ratio + 1, F.lit(ratio))), window)
+
+    return let(labels, windows)
 
 
 def expand_tokens(tokens: Column) -> Column:
     """array<struct<start,end,label>> -> array<struct<frame_idx,label>>: [start, end), for the last token [start, end]."""
-    n = F.size(tokens)
-    part = lambda t, i: F.transform(span(t["start"], t["end"] + F.when(i == n - 1, 1).otherwise(0)), lambda f: F.struct(f.alias("frame_idx"), t["label"].alias("label")))
-    return F.flatten(F.transform(tokens, part))
+    part = lambda t, last: F.transform(span(t["start"], t["end"] + F.when(last, 1).otherwise(0)), lambda f: F.struct(f.alias("frame_idx"), t["label"].alias("label")))
+    return let(tokens, lambda ts: F.flatten(F.transform(ts, lambda t, i: part(t, i == F.size(ts) - 1))))
 
 
 def dedup_last(labels: Column) -> Column:
     """One label per frame, the last one given, sorted by frame."""
-    n = F.size(labels)
-    last = F.filter(labels, lambda x, i: ~F.exists(F.slice(labels, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: y["frame_idx"] == x["frame_idx"]))
-    return F.array_sort(last)
+
+    def last(ls: Column) -> Column:
+        return F.filter(ls, lambda x, i: ~F.exists(F.slice(ls, i + 2, F.greatest(F.size(ls) - i - 1, F.lit(0))), lambda y: y["frame_idx"] == x["frame_idx"]))
+
+    return F.array_sort(let(labels, last))
 
 
 def remap(labels: Column, reform: int = -1, add_rir: bool = False) -> Column:
@@ -95,11 +114,11 @@ def remap(labels: Column, reform: int = -1, add_rir: bool = False) -> Column:
 def dense(labels: Column, length: Column, fill: int | None = None) -> Column:
     """A label per frame of 0..length-1, the last one given; null (or ``fill``) where there is none. Frames beyond are left out."""
 
-    def at(f: Column) -> Column:
-        hits = F.filter(labels, lambda x: x["frame_idx"] == f)
+    def at(f: Column, ls: Column) -> Column:
+        hits = F.filter(ls, lambda x: x["frame_idx"] == f)
         return F.coalesce(F.try_element_at(hits, F.lit(-1))["label"], F.lit(fill).cast("int"))
 
-    return F.transform(span(F.lit(0), length), at)
+    return let(labels, lambda ls: F.transform(span(F.lit(0), length), lambda f: at(f, ls)))
 
 
 def filter_labels(labels: Column, remove_deletions: bool = False, sub_ins: bool = False, word_level: bool = False) -> Column:
@@ -114,7 +133,7 @@ def filter_labels(labels: Column, remove_deletions: bool = False, sub_ins: bool
 
 def run_starts(frames: Column) -> Column:
     """First frames of the runs of consecutive ones."""
-    return F.array_sort(F.filter(F.array_distinct(frames), lambda f: ~F.array_contains(frames, f - 1)))
+    return let(frames, lambda fs: F.array_sort(F.filter(F.array_distinct(fs), lambda f: ~F.array_contains(fs, f - 1))))
 
 
 def pad_to(values: Column, n: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -149,14 +150,16 @@ def speakable(c: Column) -> Column:
     return blank_trim(F.regexp_replace(F.regexp_replace(c, r"[\-‑…*_\[\]{}()\\/]", " "), " +", " "))
 
 
-@F.pandas_udf("string")
-def upper_spelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def upper_spelled(c: Column) -> Column:
     """Rows of three or more single letters in capitals, unless a possessive follows."""
-    import re
 
-    pattern = re.compile(r"\b(?:[a-zA-Z] ){2,}[a-zA-Z](?!\s+'s\b)")
-    for s in batches:
-        yield s.map(lambda x: None if x is None else pattern.sub(lambda m: m[0].upper(), x))
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pattern = re.compile(r"\b(?:[a-zA-Z] ){2,}[a-zA-Z](?!\s+'s\b)")
+        for s in batches:
+            yield s.map(lambda x: None if x is None else pattern.sub(lambda m: m[0].upper(), x))
+
+    return run(c)
 
 
 def speech_line(line: Column) -> Column:

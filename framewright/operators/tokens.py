@@ -26,18 +26,18 @@ def best_words(tokens: Column, words: Column) -> Column:
         overlap = F.greatest(F.lit(0), F.least(t["end"], w["end"]) - F.greatest(t["start"], w["start"]))
         return overlap + F.when((w["start"] <= t["start"]) & (t["start"] <= w["end"]), BONUS).otherwise(0)
 
-    best = lambda t: -F.array_max(F.transform(words, lambda w, i: F.struct(score(t, w).alias("s"), (-i).alias("i"))))["i"]
-    return F.when((F.size(tokens) > 0) & (F.size(words) > 0), F.transform(tokens, best)).otherwise(L.none())
+    best = lambda t, ws: -F.array_max(F.transform(ws, lambda w, i: F.struct(score(t, w).alias("s"), (-i).alias("i"))))["i"]
+    return L.let(words, lambda ws: F.when(F.size(ws) > 0, F.transform(tokens, lambda t: best(t, ws))).otherwise(L.none()))
 
 
 def uncovered_frames(frames: Column, tokens: Column, n: Column, frame: float = FRAME, tolerance: int = 1) -> Column:
     """Frames without a token in the window of ``tolerance`` frames around them; touching counts as overlap."""
 
-    def free(f: Column) -> Column:
+    def free(f: Column, ts: Column) -> Column:
         lo, hi = F.greatest(F.lit(0), f - tolerance) * frame, F.least(n, f + tolerance + 1) * frame
-        return ~F.exists(tokens, lambda t: ~((t["end"] < lo) | (t["start"] > hi)))
+        return ~F.exists(ts, lambda t: ~((t["end"] < lo) | (t["start"] > hi)))
 
-    return F.filter(frames, free)
+    return L.let(tokens, lambda ts: F.filter(frames, lambda f: free(f, ts)))
 
 
 def deletion_frames(predictions: Column, tokens: Column, frame: float = FRAME) -> Column:
@@ -54,25 +54,27 @@ def first_word_after(time: Column, starts: Column) -> Column:
 
 def deletion_positions(ops: Column) -> Column:
     """For each deletion of an alignment the position after the last hypothesis word before it."""
-    before = lambda i: F.coalesce(F.array_max(F.transform(F.slice(ops, 1, i), lambda o: o["hyp_idx"])), F.lit(-1)) + 1
-    at = F.transform(ops, lambda o, i: F.when(o["op"] == "D", before(i)))
+    before = lambda os, i: F.coalesce(F.array_max(F.transform(F.slice(os, F.lit(1), i), lambda o: o["hyp_idx"])), F.lit(-1)) + 1
+    at = L.let(ops, lambda os: F.transform(os, lambda o, i: F.when(o["op"] == "D", before(os, i))))
     return F.filter(at, lambda x: x.isNotNull())
 
 
 def frame_events(ops: Column, ref_tokens: Column, hyp_tokens: Column) -> Column:
     """array<struct<start,label,end>> in order of start: 0 equal, 1 other or inserted (the hypothesis' offsets), 2 deleted (the reference's)."""
 
-    def event(o: Column, i: Column) -> Column:
-        t = F.when(o["op"] == "D", F.get(ref_tokens, o["ref_idx"])).otherwise(F.get(hyp_tokens, o["hyp_idx"]))
+    def event(o: Column, i: Column, rs: Column, hs: Column) -> Column:
+        t = F.when(o["op"] == "D", F.get(rs, o["ref_idx"])).otherwise(F.get(hs, o["hyp_idx"]))
         label = F.when(o["op"] == "C", 0).when(o["op"] == "D", 2).otherwise(1)
         return F.struct(t["start"].alias("start"), i.alias("at"), t["end"].alias("end"), label.alias("label"))
 
-    return F.transform(F.array_sort(F.transform(ops, event)), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label")))
+    events = L.let(ref_tokens, lambda rs: L.let(hyp_tokens, lambda hs: F.transform(ops, lambda o, i: event(o, i, rs, hs))))
+    return F.transform(F.array_sort(events), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label")))
 
 
 def token_labels(word_labels: Column, word_of_token: Column, tokens: Column) -> Column:
     """array<struct<frame_idx,label>>: each token's start with its word's label, 0 for a word without one."""
-    return F.transform(tokens, lambda t, i: F.struct(t["start"].alias("frame_idx"), F.coalesce(F.get(word_labels, F.get(word_of_token, i)), F.lit(0)).alias("label")))
+    one = lambda t, i, ls, ws: F.struct(t["start"].alias("frame_idx"), F.coalesce(F.get(ls, F.get(ws, i)), F.lit(0)).alias("label"))
+    return L.let(word_labels, lambda ls: L.let(word_of_token, lambda ws: F.transform(tokens, lambda t, i: one(t, i, ls, ws))))
 
 
 def error_type(hearing: Column, intelligibility: Column) -> Column:
