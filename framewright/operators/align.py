@@ -74,7 +74,7 @@ def distance(ref: Column, hyp: Column) -> Column:
     sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(voc, w)), 4, "0")), "UTF-16BE")
     coded = lambda a: F.array_join(F.transform(a, sign), "")
     # Beyond the alphabet's size codes would meet the surrogates.
-    return F.when(F.size(voc) < 30000, F.levenshtein(coded(ref), coded(hyp))).otherwise(F.raise_error(F.lit("more than 30000 different words in a pair")))
+    return F.when(F.size(voc) >= 30000, F.raise_error(F.lit("more than 30000 different words in a pair"))).otherwise(F.levenshtein(coded(ref), coded(hyp)))
 
 
 def wer(errors: Column, n: Column) -> Column:
