@@ -276,7 +276,7 @@ def _western_layer(text: str) -> tuple[str, str] | None:
             for i in inside:
                 ch, new = text[i], back(text[i])
                 odd = not ch.isalpha() or ch.isupper() or "Ͱ" <= ch < "Ѐ"
-                if odd and ch not in "’‘'–—…\xa0·‍​\xad" and new in WEST_LOWER:
+                if odd and ch not in "’‘'–—…\x85\xa0·\u200d\u200b\xad" and new in WEST_LOWER:
                     strong += 1
                 elif new not in WEST_LOWER:
                     strong -= 1

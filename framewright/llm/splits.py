@@ -108,11 +108,12 @@ def choose(sizes: dict[int, int], targets: list[int], max_bits: int = MAX_BITS)
     for target in targets:
         picked: dict[int, int] = {}
         rest = max(0, target)
-        if rest > max_bits:
-            for s in sorted(left, reverse=True):
-                n = min(left[s], max(0, rest - max_bits // 2) // s)
-                if n:
-                    picked[s], rest = n, rest - n * s
+        for s in sorted((s for s in left if s > 0), reverse=True):
+            if rest <= max_bits:
+                break
+            # No more than needed, so that small sizes are left for the exact part.
+            if n := min(left[s], -(-(rest - max_bits) // s), rest // s):
+                picked[s], rest = n, rest - n * s
         now = {s: left[s] - picked.get(s, 0) for s in left}
         for s, n in _subset(now, rest).items():
             picked[s] = picked.get(s, 0) + n
@@ -135,7 +136,8 @@ def _subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     items = sorted(((s, n) for s, n in sizes.items() if n > 0 and s > 0), reverse=True)
     if not items or target <= 0:
         return {}
-    limit = min(sum(s * n for s, n in items), target + items[-1][0])
+    # A total further above the target than that is no closer than the empty one or the one without its smallest part.
+    limit = min(sum(s * n for s, n in items), 2 * target, target + items[0][0])
     items = [(s, min(n, limit // s)) for s, n in items if s <= limit]
     mask = (1 << (limit + 1)) - 1
     every = max(1, math.isqrt(len(items)))
