@@ -482,6 +482,50 @@ def sink_two_ways(spark, d):
     return spark.read.parquet(path).groupBy("side").agg(F.count("*").alias("n"))
 
 
+@query("SRC21_paired", f"""SELECT DISTINCT utt_id, text FROM transcription WHERE utt_id IN (SELECT uttid FROM encoder_archive WHERE len(audio) > 0) AND len({Q.d_words('text')}) <= 10""")
+def src_paired(spark, d):
+    heard = table(spark, d, "encoder_archive").where("uttid IS NOT NULL").where(F.size("audio") > 0).select(F.col("uttid").alias("utt_id"))
+    return R.paired(table(spark, d, "transcription").where("text IS NOT NULL").select("utt_id", "text"), heard).distinct()
+
+
+@query("SNK01_segment_rows", """SELECT archive_id, len(audio) AS samples, len(targets.labels) AS n_labels, json_extract_string(json_object('uttid', uttid, 'rate', sample_rate), '$.uttid') AS meta_id FROM encoder_archive WHERE audio IS NOT NULL AND uttid IS NOT NULL""")
+def segment_rows(spark, d):
+    """Audio, labels and metadata of a segment in one row, in place of three files."""
+    a = table(spark, d, "encoder_archive").where("audio IS NOT NULL AND uttid IS NOT NULL")
+    row = a.select("archive_id", "audio", F.col("targets.labels").alias("labels"), F.to_json(F.struct("uttid", F.col("sample_rate").alias("rate"))).alias("meta"))
+    return row.select("archive_id", F.size("audio").cast("long").alias("samples"), F.size("labels").cast("long").alias("n_labels"), F.get_json_object("meta", "$.uttid").alias("meta_id"))
+
+
+@query("SNK06_metrics_json", "SELECT archive_metrics FROM (SELECT json_object('split', split_name, 'n', count(*))::VARCHAR AS archive_metrics FROM encoder_archive WHERE split_name IS NOT NULL GROUP BY split_name)")
+def metrics_json(spark, d):
+    n = table(spark, d, "encoder_archive").where("split_name IS NOT NULL").groupBy(F.col("split_name").alias("split")).agg(F.count("*").alias("n"))
+    return n.select(F.to_json(F.struct("split", "n")).alias("archive_metrics"))
+
+
+@query("SNK07_request_lines", "SELECT count(*) AS n FROM documents WHERE text IS NOT NULL")
+def request_lines(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    W.text_lines(docs, D.request(F.col("doc_id").cast("string"), F.col("text"), F.lit("None")), path := staged_path(spark, "requests"))
+    back = spark.read.text(path).select(F.get_json_object("value", "$.custom_id").alias("id"))
+    return back.where("id IS NOT NULL").agg(F.count("*").alias("n"))
+
+
+@query("SNK08_confidence_object", "SELECT count(DISTINCT pred_id) AS utterances FROM predictions WHERE predictions IS NOT NULL")
+def confidence_object(spark, d):
+    p = table(spark, d, "predictions").where("predictions IS NOT NULL").select(F.col("pred_id").cast("string").alias("utt_id"), F.transform("predictions", lambda x: (x * 0.25).cast("float")).alias("c")).dropDuplicates(["utt_id"])
+    objects = W.confidence_json(p, "utt_id", "c")
+    return objects.select(F.explode(F.json_object_keys("value")).alias("k")).agg(F.count("*").alias("utterances"))
+
+
+@query("SNK09_question_and_text", REPLIES)
+def question_and_text(spark, d):
+    """Both outputs of one pass: the questions and the repaired texts, joined again from what was written."""
+    r = _responses(spark, d).select("doc_id", D.parse_reply(D.message_text(F.col("response"))).alias("x")).select("doc_id", "x.question", "x.fixed")
+    r.write.parquet(path := staged_path(spark, "replies"))
+    q, f = spark.read.parquet(path).select("doc_id", "question"), spark.read.parquet(path).select("doc_id", "fixed")
+    return q.join(f, "doc_id")
+
+
 @query("SRC18_dataset", "SELECT split_name, count(*) AS n FROM encoder_archive GROUP BY split_name")
 def src_dataset(spark, d):
     return table(spark, d, "encoder_archive").groupBy("split_name").agg(F.count("*").alias("n"))
