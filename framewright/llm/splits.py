@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.plans.scan import ranked
@@ -223,6 +223,6 @@ def shares(assigned: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:
     spark = assigned.sparkSession
     wanted = spark.createDataFrame([(k, v / sum(ratios.values())) for k, v in ratios.items()], "split string, target_share double")
     n = assigned.groupBy("split").agg(F.count("*").alias("segments"))
-    total = n.agg(F.sum("segments").alias("total"))
-    both = wanted.join(n, "split", "left").crossJoin(F.broadcast(total)).withColumn("segments", F.coalesce("segments", F.lit(0).cast("long")))
+    both = wanted.join(n, "split", "left").withColumn("segments", F.coalesce("segments", F.lit(0).cast("long")))
+    both = both.withColumn("total", F.sum("segments").over(Window.partitionBy(F.lit(0))))  # a row per split
     return both.select("split", "segments", F.round(F.col("segments") / F.col("total"), 6).alias("share"), F.round("target_share", 6).alias("target_share"))
