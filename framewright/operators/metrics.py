@@ -50,9 +50,10 @@ def binary_scores(df: DataFrame, digits: int = 6) -> DataFrame:
 def recall_at_fpr(scores: DataFrame, score: str, error: Column, fpr: float, by: list[str] | None = None) -> DataFrame:
     """Threshold at the target rate and what it reaches: an item is predicted an error if its score is at least the threshold."""
     by = by or []
-    limits = threshold_at_fpr(scores, score, ~error, fpr, by)
-    # One row per group of the report.
-    joined = scores.join(F.broadcast(limits), by) if by else scores.crossJoin(F.broadcast(limits))
+    keys = by or ["_one"]
+    scores = scores if by else scores.withColumn("_one", F.lit(0))
+    limits = threshold_at_fpr(scores, score, ~error, fpr, keys)
+    joined = scores.join(F.broadcast(limits), keys)  # one row per group of the report
     counted = joined.where(F.col(score).isNotNull()).groupBy(*by, "threshold").agg(*[c.alias(k) for k, c in binary_counts(error, F.col(score) >= F.col("threshold")).items()])
     return binary_scores(counted)
 

@@ -64,15 +64,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Remove the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for folder, paths in _STAGED.items():
-        for path in [p for p in paths if any(p.split("://")[-1] in f for f in df.inputFiles()[:1])]:
-            _delete(spark, path)
-            paths.discard(path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

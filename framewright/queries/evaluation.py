@@ -468,11 +468,10 @@ def src_predictions(spark, d):
     return R.predictions(spark, path).select("file_id", "num_frames")
 
 
-@query("SNK02_sharded_parquet", "SELECT ((row_number() OVER (ORDER BY uttid) - 1) // 100)::INT AS shard, count(*) OVER () AS n, uttid FROM (SELECT DISTINCT uttid FROM encoder_archive WHERE uttid IS NOT NULL)")
+@query("SNK02_sharded_parquet", "SELECT ((row_number() OVER (ORDER BY uttid) - 1) // 100)::INT AS shard, uttid FROM (SELECT DISTINCT uttid FROM encoder_archive WHERE uttid IS NOT NULL)")
 def sharded_parquet(spark, d):
     ids = table(spark, d, "encoder_archive").where("uttid IS NOT NULL").select("uttid").distinct()
-    back = W.sharded(ids, "uttid", staged_path(spark, "shards"), 100)
-    return back.select("shard", "uttid").crossJoin(F.broadcast(back.agg(F.count("*").alias("n"))))
+    return W.sharded(ids, "uttid", staged_path(spark, "shards"), 100).select("shard", "uttid")
 
 
 @query("SNK10_two_ways", "SELECT CASE WHEN contains(text, '<FINAL>') OR NOT regexp_matches(text, '</?unknown>|<del>|</?unclear>') THEN 'finalized' ELSE 'not_finalized' END AS side, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -136,3 +136,11 @@ def test_threshold_with_ties(spark):
     for fpr, want in ((0.5, (0.8, 4, 2)), (0.0, (0.9, 4, 0)), (1.0, (0.1, 4, 4))):
         assert [tuple(r) for r in threshold_at_fpr(df, "p", F.col("ok"), fpr).collect()] == [want]
     assert threshold_at_fpr(df.where("false"), "p", F.col("ok"), 0.5).count() == 0
+
+
+def test_recall_at_a_rate_without_groups(spark):
+    from framewright.operators.metrics import recall_at_fpr
+
+    df = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True), (0.1, False)], "p double, bad boolean")
+    (r,) = recall_at_fpr(df, "p", F.col("bad"), 0.5).collect()
+    assert (r.threshold, r.tp, r.fp, r.fn, r.tn) == (0.8, 1, 1, 1, 1)
