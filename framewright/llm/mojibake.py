@@ -252,44 +252,97 @@ def _japanese_layer(text: str) -> tuple[str, str] | None:
     return (new, f"{layers[0]} as cp1252") if layers else None
 
 
+_NEUTRAL = "’‘'–—…\x85\xa0·\u200d\u200b\xad"
+_WORD = re.compile("(?:[A-Za-z]|[^\x00-\x7f])+")
+# Where a character beyond ASCII may tell of damage: inside a lower-case word, at its end or start, or a sign before a number.
+_INSIDE = re.compile("(?<=[a-z])[^\x00-\x7f](?=[a-z])")
+_BEFORE = re.compile("(?<=[a-z])[^\x00-\x7f](?=[à-öø-ÿß][a-z])|(?<![A-Za-z][A-Z])(?<=[A-Z])[^\x00-\x7f](?=[a-z]{2})")
+_EDGE = re.compile("(?<=[a-z][a-z])[‚¢\x80-\x84\x86-\x9fÀ-ÖØ-ÞŒŠŽΑ-Ω](?![^\\W\\d_])|(?<![^\\W\\d_])[\x80-\x84\x86-\x9f™](?=[a-z]{2})")
+_NUMBER = re.compile("(?<![^ ])ñ(?=[0-9])")
+
+
+def _odd(ch: str) -> bool:
+    return (not ch.isalpha() or ch.isupper() or "Ͱ" <= ch < "Ѐ") and ch not in _NEUTRAL
+
+
+@cache
+def _western_pair(read: str, meant: str) -> dict[str, str]:
+    """Character as read -> as meant, where that is a letter or sign of Western texts."""
+    out = {}
+    for c, b in _to_byte(read).items():
+        try:
+            out[chr(c)] = bytes([b]).decode(meant)
+        except UnicodeDecodeError:
+            pass
+    return {c: x for c, x in out.items() if x in WEST_LOWER or x in WEST_OTHER}
+
+
 def _western_layer(text: str) -> tuple[str, str] | None:
-    """One Western code page read as another: symbols, capitals or Greek stand inside lower-case words where letters belong."""
+    """One Western code page read as another: symbols, capitals or Greek stand in lower-case words where letters belong.
+
+    Each word is judged by itself: damaged, proper (it has a letter that damage can't give), or neither. What is neither
+    changes anywhere if no word is proper, else only near damaged words, up to the next proper word or end of a sentence.
+    What could as well be proper changes only between damaged words, or in a text of several damaged words and no proper one.
+    """
+    inside = {m.start() for m in _INSIDE.finditer(text)}
+    odd = {i for i in inside | {m.start() for m in _BEFORE.finditer(text)} if _odd(text[i])}
+    edge = {m.start() for m in _EDGE.finditer(text)}
+    number = {m.start() for m in _NUMBER.finditer(text)}
+    if not odd and not edge and not number:
+        return None
+    words = [(m.span(), [i for i in range(*m.span()) if text[i] > "\x7f"]) for m in _WORD.finditer(text) if not m[0].isascii()]
     best: tuple[float, str, str] | None = None
-    inside = {m.start() for m in re.finditer("(?<=[a-z])[^\x00-\x7f](?=[a-z])", text)}
-    numbers = [m.start() for m in re.finditer("(?<![^ ])[ñ±](?=[0-9])", text)]
     for read in WESTERN:
-        table = _to_byte(read)
         for meant in WESTERN:
             if read == meant:
                 continue
-
-            def back(ch: str, table: dict = table, meant: str = meant) -> str | None:
-                b = table.get(ord(ch))
-                if b is None:
-                    return None
-                try:
-                    return bytes([b]).decode(meant)
-                except UnicodeDecodeError:
-                    return None
-
+            back = _western_pair(read, meant)
+            damaged: list[int] = []
+            proper: list[int] = []
             strong = 0
-            for i in inside:
-                ch, new = text[i], back(text[i])
-                odd = not ch.isalpha() or ch.isupper() or "Ͱ" <= ch < "Ѐ"
-                if odd and ch not in "’‘'–—…\x85\xa0·\u200d\u200b\xad" and new in WEST_LOWER:
-                    strong += 1
-                elif new not in WEST_LOWER:
-                    strong -= 1
-            strong += sum(1 for i in numbers if text[i] == "ñ" and back("ñ") == "±")
-            if strong <= 0:
+            for k, (_, at) in enumerate(words):
+                signs = sum(i in odd and back.get(text[i]) in WEST_LOWER or i in edge and back.get(text[i], "-").isalpha() or i in number and back.get("ñ") == "±" for i in at)
+                against = any(i in inside and text[i] not in _NEUTRAL and back.get(text[i]) not in WEST_LOWER for i in at)
+                if signs and not against:
+                    damaged.append(k)
+                    strong += signs
+                elif against or any(text[i] in WEST_LOWER and text[i] not in back for i in at):
+                    proper.append(k)
+            if not damaged:
                 continue
-            new = re.sub("[^\x00-\x7f]", lambda m: x if (m[0] not in "“”" or m.start() in inside) and (x := back(m[0])) and (x in WEST_LOWER or x in WEST_OTHER) else m[0], text)
+            out = list(text)
+            for lo, hi in _between(damaged, proper):
+                whole = not proper and len(damaged) > 2
+                a = 0 if not proper else max([words[lo][0][0] - len(re.split("[.!?\n]", text[: words[lo][0][0]])[-1]), *(words[k][0][1] for k in proper if k < lo)])
+                z = len(text) if not proper else min([words[hi][0][1] + len(re.split("[.!?\n]", text[words[hi][0][1] :])[0]), *(words[k][0][0] for k in proper if k > hi)])
+                for k, ((w, _), at) in enumerate(words):
+                    if not a <= w < z or k in proper:
+                        continue
+                    for i in at:
+                        ch = text[i]
+                        quote = ch in "“”" and i not in inside | odd
+                        low = ch == "‚" and i and (text[i - 1].isalpha() or text[i - 1] == "'") or ch == "‡" and re.search("^‡[a-z]| ‡[a-z]", text[max(0, i - 1) : i + 2]) or ch == "«" and "»" not in text
+                        could = not low and (ch in _NEUTRAL or ch in TYPOGRAPHIC or ch.isalpha() and (ch in WEST_LOWER or ch in WEST_OTHER) and re.search("[a-z]", text[max(0, i - 1) : i + 2]))
+                        if ch in back and not quote and (k in damaged or whole or not could or lo < k < hi):
+                            out[i] = back[ch]
+            new = "".join(out)
             drop = cost(text) - cost(new) + strong
             if drop > 0 and (best is None or drop > best[0]):
                 best = (drop, new, f"{meant} as {read}")
     return best[1:] if best else None
 
 
+def _between(damaged: list[int], proper: list[int]) -> list[tuple[int, int]]:
+    """First and last of the damaged words that no proper word parts."""
+    out: list[tuple[int, int]] = []
+    for k in damaged:
+        if out and not any(out[-1][1] < p < k for p in proper):
+            out[-1] = (out[-1][0], k)
+        else:
+            out.append((k, k))
+    return out
+
+
 def _sure_cyrillic_layer(text: str) -> tuple[str, str] | None:
     """Much fluent Russian: tried first, for parts of it may by chance be valid UTF-8 under another code page."""
     return _cyrillic_layer(text, True)

@@ -48,6 +48,28 @@ def test_western_as_western(meant):
     assert M.repair(read(text, "cp1252", meant)).text == text
 
 
+@pytest.mark.parametrize(
+    ("garbled", "text"),
+    [
+        ("le collŠgue a r‚p‚t‚ ‡a, puis mon frère a demandé l'adresse complète à côté", "le collègue a répété ça, puis mon frère a demandé l'adresse complète à côté"),
+        ("Mon frère a demandé ça. L'h“tesse a r‚p‚t‚ la premiŠre phrase. Où est la clé à côté?", "Mon frère a demandé ça. L'hôtesse a répété la première phrase. Où est la clé à côté?"),
+        ("It’s the naïve one, isn’t it… “Se¤or” was heard — señor", "It’s the naïve one, isn’t it… “Señor” was heard — señor"),
+        ("met at the caf‚; the librarian waits…", "met at the café; the librarian waits…"),
+        ("“Señor” was heard. Gain ±5 µV, ½ scale… Met at the caf‚.", "“Señor” was heard. Gain ±5 µV, ½ scale… Met at the café."),
+        ("repiti¢ una vez", "repitió una vez"), ("cafÚ, cafÚ", "café, café"), ("in die B\x81cherei", "in die Bücherei"), ("Speaker \x9dye (4983 õ) read", "Speaker Øye (4983 §) read"),
+        ("Speaker Øye (64 §) spoke. Speaker \x9dye (53 õ) read", "Speaker Øye (64 §) spoke. Speaker Øye (53 §) read"), ("in den gr”áeren Tisch", "in den größeren Tisch"),
+    ],
+)
+def test_western_in_part_and_at_edges(garbled, text):
+    got = M.repair(garbled)
+    assert got.garbled and got.restored and got.text == text
+
+
+@pytest.mark.parametrize("text", ["‚so‘ sagte Zoë, „gut“ — l’été “là”…", "hola! ¿qué™ µV°", "TÉLÉ ÉCOLE iPod™ café™ R²", "El niño™ pagó 5¢, 5 £ o 3 ¤", "5 kΩ und 3 MΩ, sin α"])
+def test_proper_signs_at_edges(text):
+    assert not M.repair(text).garbled
+
+
 def test_part_of_a_text():
     text = f"{JAPANESE} proper. {read(WEST, 'cp1252')} “proper” again"
     assert M.repair(text).text == f"{JAPANESE} proper. {WEST} “proper” again"
