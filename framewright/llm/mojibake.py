@@ -5,7 +5,7 @@ layers. A change is accepted when a garbling cost drops: the cost counts charact
 and symbols or capitals inside words. Because ASCII bytes survive every candidate, only the damaged stretches change.
 
 Candidates: UTF-8 read as a legacy code page (any number of layers), Cyrillic code pages and Shift JIS or EUC-JP read as
-Latin, and Western code pages taken for one another. Text that was lower- or upper-cased after the damage is recognised.
+Latin, and Cyrillic or Western code pages taken for one another. Text that was lower- or upper-cased after the damage is recognised.
 U+FFFD marks damage that can't be undone.
 """
 
@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from math import log
 from typing import NamedTuple
 
 import pandas as pd
@@ -220,6 +221,92 @@ def _cyrillic_layer(text: str, sure: bool = False) -> tuple[str, str] | None:
     return (new, f"{enc} as cp1252") if new != text else None
 
 
+FREQUENCY = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 20, 20), strict=True))
+VOWELS = "аеёиоуыэюя"
+# Every mix-up of Cyrillic code pages gives capitals in a row or inside words, letters that Russian lacks, or signs beside letters.
+_CYRILLIC_ODD = re.compile("[Ѐ-ӿ][А-ЯЁ]|[ЂЃЄЅІЇЈЉЊЋЌЎЏѐђ-џҐґ]|[─-▟]|[Ѐ-ӿ][^\x00-\x7fЀ-ӿ\xa0«»“”„’…–—№]|[^\x00-\x7fЀ-ӿ\xa0«»“”„‘’…–—№][Ѐ-ӿ]")
+SWITCH = 4.0  # what the start or end of a damaged stretch costs, in nats; less where a text or sentence begins, more inside a word
+SURE = 7.0  # what all stretches must gain
+
+
+@lru_cache(1 << 17)
+def _fluency(before: str, ch: str, first: str) -> float:
+    """Log odds of a character beyond ASCII in Russian, given the one before and the one before that."""
+    low, prev = ch.lower(), before.lower()
+    if low not in FREQUENCY:
+        if ch in TYPOGRAPHIC or ch == "\xa0":
+            return -3.0 if before.isalpha() and ch.isalpha() else -0.5
+        return -3.0 if "Ѐ" <= ch <= "ӿ" else -4.0
+    points = log(FREQUENCY[low] * 33 / 10000)
+    if prev not in FREQUENCY:
+        return points - 4 * (low in "ьъы") - (3 if before in TYPOGRAPHIC and before not in "«“„‘—–№" else 0)
+    if ch.isupper() and before.islower() or ch.islower() and before.isupper() and first.isupper():
+        points -= 4
+    if low in "ьъ" and prev in VOWELS + "ьъй" or low == "ы" and prev in VOWELS + "гкхжшчщй" or low == "й" and prev not in VOWELS:
+        points -= 3
+    if low not in VOWELS + "ьъ" and prev not in VOWELS + "ьъ" and (f := first.lower()) in FREQUENCY and f not in VOWELS + "ьъ":
+        points -= 1
+    return points
+
+
+@cache
+def _cyrillic_pair(read: str, meant: str) -> dict[str, str]:
+    out = {}
+    for c, b in _to_byte(read).items():
+        try:
+            out[chr(c)] = bytes([b]).decode(meant)
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+def _cyrillic_pages_layer(text: str) -> tuple[str, str] | None:
+    """One Cyrillic code page read as another: the stretches that are better Russian under the other one.
+
+    The best way through two states, as read and as meant, is sought for each pair of code pages, so a stretch may begin
+    inside a word and proper words around it stay.
+    """
+    if not _CYRILLIC_ODD.search(text) or len(re.findall("[Ѐ-ӿ─-▟]", text)) < 4:
+        return None
+    at = [i for i, ch in enumerate(text) if ch > "\x7f"]
+    starts = {m.end() for m in re.finditer("[.!?]\\s+|\n", text)}
+    begins = {m.end() for m in re.finditer("[^\\W\\d_],? ", text)}
+
+    def points(s: str, before: str) -> list[float]:
+        # A capital in mid-sentence costs some.
+        return [_fluency(before[i - 1] if i else " ", s[i], before[i - 2] if i > 1 else " ") - (1.5 if i in begins and s[i].isupper() and s[i + 1 : i + 2].islower() else 0) for i in at]
+
+    now = points(text, text)
+    joined = [i > 0 and not {text[i], text[i - 1]} & TYPOGRAPHIC and text[i - 1] > "\x7f" for i in at]
+    switch = [SWITCH - 2 * (k == 0 or i in starts) + 2 * joined[k] for k, i in enumerate(at)]
+    best: tuple[float, str, str] | None = None
+    for read in CYRILLIC:
+        for meant in CYRILLIC:
+            if read == meant:
+                continue
+            table = _cyrillic_pair(read, meant)
+            other = "".join(ch if ch < "\x80" else table.get(ch, "\ufffd") for ch in text)
+            gain = [x - y for x, y in zip(points(other, other), now, strict=True)]
+            if sum(g for g in gain if g > 0) <= SURE:
+                continue
+            # Best gain so far that ends inside or outside a damaged stretch, and whether this character changed between them.
+            inside, outside, came = float("-inf"), 0.0, []
+            for g, n, x, y, w in zip(gain, now, points(other, text), points(text, other), switch, strict=True):
+                enter, leave = outside - w + x - n, inside - w + y - n
+                came.append((enter > inside + g, leave > outside))
+                inside, outside = max(inside + g, enter), max(outside, leave)
+            total = max(inside, outside)
+            if total <= SURE or best and total <= best[0]:
+                continue
+            new, damaged = list(text), inside > outside
+            for i, (entered, left) in zip(reversed(at), reversed(came), strict=True):
+                if damaged and other[i] != "�" and ("Ѐ" <= other[i] <= "ӿ" or "Ѐ" <= text[i] <= "ӿ"):
+                    new[i] = other[i]
+                damaged = damaged != (entered if damaged else left)
+            best = (total, "".join(new), f"{meant} as {read}")
+    return best[1:] if best and best[1] != text else None
+
+
 _HIGH = set("\x80\x81\x8d\x8f\x90\x9d€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ") | {chr(c) for c in range(0x80, 0xA0)}
 _KANA = re.compile("[、。ぁ-ヿ一-鿿]")
 
@@ -355,7 +442,7 @@ def repair(text: str | None) -> Repair:
     layers: list[str] = []
     now = text
     for _ in range(LAYERS):
-        for step in (_japanese_layer, _sure_cyrillic_layer, _utf8_layer, _cyrillic_layer, _western_layer, _folded_layer, _upper_layer):
+        for step in (_japanese_layer, _sure_cyrillic_layer, _utf8_layer, _cyrillic_layer, _cyrillic_pages_layer, _western_layer, _folded_layer, _upper_layer):
             if (got := step(now)) and got[0] != now:
                 now = got[0]
                 layers.append(got[1])

@@ -38,6 +38,31 @@ def test_cyrillic_as_latin(meant):
     assert M.repair(read(RUSSIAN, "cp1252", meant)).text == RUSSIAN
 
 
+PAGES = [("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("koi8_r", "cp866"), ("cp866", "koi8_r"), ("iso8859_5", "cp1251"), ("iso8859_5", "koi8_r")]
+
+
+@pytest.mark.parametrize(("meant", "as_"), PAGES)
+def test_cyrillic_as_cyrillic(meant, as_):
+    got = M.repair(read(RUSSIAN, as_, meant))
+    assert got.restored and got.text == RUSSIAN
+
+
+@pytest.mark.parametrize(("meant", "as_"), PAGES)
+def test_cyrillic_as_cyrillic_in_part(meant, as_):
+    garbled = f"Кассир услышал первую фразу. {read(RUSSIAN, as_, meant)} Мой брат забыл синий билет, “ВСЁ”."
+    got = M.repair(garbled)
+    assert got.restored and got.text == f"Кассир услышал первую фразу. {RUSSIAN} Мой брат забыл синий билет, “ВСЁ”."
+
+
+def test_cyrillic_damage_that_begins_inside_a_word():
+    assert M.repair("Сначала расРЙУБОЙЕ ОБ РСФПК РМБФЖПТНЕ").text == "Сначала расписание на пятой платформе"
+
+
+@pytest.mark.parametrize("text", ["ДИКТОР СКАЗАЛ: ПОВТОРИТЕ, ПОЖАЛУЙСТА, АДРЕС КОНТОРЫ", "СССР, США, ЦРУ, МВД, ГУЛАГ и ВЛКСМ", "УКРАЇНА — Її ґанок, Європа", "ЉУБАВ И ЊЕГОВА ЋЕРКА, ђак", "БЪЛГАРИЯ: ЩЪРКЕЛ НА ПЪТЯ", "iPhone для МамыИПапы, ЖКХ № 5"])
+def test_proper_cyrillic(text):
+    assert not M.repair(text).garbled
+
+
 def test_japanese_as_latin():
     assert M.repair(read(JAPANESE, "cp1252", "cp932")).text == JAPANESE
 
