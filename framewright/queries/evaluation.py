@@ -206,6 +206,13 @@ def zero_segment(spark, d):
     return audio(spark, d).where(F.size("x") > 160).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).cast("long").alias("zeros"))
 
 
+@query("DSP09_zero_segment_all", f"SELECT archive_id, len(list_filter(list_transform(range(0, len(x)), lambda i: CASE WHEN i >= 16 AND i < 48 THEN 0 ELSE x[i + 1] END), lambda v: v = 0)) + CASE WHEN x[16] <> 0 THEN 1 ELSE 0 END + CASE WHEN x[49] <> 0 THEN 1 ELSE 0 END AS zeros FROM {AUDIO}")
+def zero_segment_all(spark, d):
+    """Recordings of any length; DSP09_zero_segment leaves out those of 160 samples or fewer, as its SQL does."""
+    y = S.zero_segment(F.col("x"), F.lit(0.001), F.lit(0.003))
+    return audio(spark, d).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).cast("long").alias("zeros"))
+
+
 @query("DSP10_word_augmentation")
 def word_augmentation(spark, d):
     w = with_offsets(spark, d)

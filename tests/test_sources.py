@@ -143,3 +143,19 @@ def test_heads(spark, one):
     assert np.allclose(y, np.maximum(conv / np.sqrt(1 + 1e-5), 0) @ w.T + b)
     loss = one(H.cross_entropy(F.array(*[F.lit(v) for v in (1.0, 2.0, 3.0)]), F.lit(2)))
     assert loss == pytest.approx(np.log(np.exp([1, 2, 3]).sum()) - 3)
+
+
+def test_zero_segment_of_every_length(spark, tmp_path):
+    import duckdb
+
+    from framewright import catalog
+
+    catalog.load()
+    rows = [(i, [0.5 + k % 3 for k in range(n)]) for i, n in enumerate((1, 10, 15, 16, 17, 30, 48, 49, 50, 100, 129, 160, 161, 400))]
+    path = str(tmp_path / "encoder_archive.parquet")
+    spark.createDataFrame([*rows, (99, []), (100, None)], "archive_id long, audio array<float>").write.parquet(path)
+    got = {r.archive_id: r.zeros for r in catalog.QUERIES["DSP09_zero_segment_all"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW encoder_archive AS SELECT * FROM '{path}/*.parquet'")
+    assert got == dict(con.sql(catalog.SQL["DSP09_zero_segment_all"]).fetchall())
+    assert set(got) == {i for i, _ in rows} and got[0] == 0 and got[13] == 34
