@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewright.llm import mixing, splits, tokens
-from framewright.llm.crosssplit import overlaps, per_split
+from framewright.llm.crosssplit import CrossSplit, overlaps
 from framewright.llm.lookalike import corpus_patterns, same_looking, with_consistent
 from framewright.llm.mojibake import repair_texts
 from framewright.llm.tokens import encode
@@ -66,8 +66,7 @@ def p6_found(spark, d):
 
 @query("p6_report")
 def p6_report(spark, d):
-    archive = table(spark, d, "encoder_archive")
-    return per_split(overlaps(archive), archive)
+    return CrossSplit(table(spark, d, "encoder_archive")).report()
 
 
 FILLED = "('" + "','".join(splits.FILLERS) + "')"
