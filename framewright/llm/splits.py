@@ -19,7 +19,7 @@ from framewright.plans.tables import stage
 FILLERS = ("", "-", "--", "?", "unknown", "unk", "n/a", "na", "none", "null", "nil", "nan", "anonymous", "anon", "tbd", "not available", "unnamed", "undefined", "missing", "<unk>")
 SALTS = 32
 RATIOS = {"train": 0.8, "valid": 0.1, "test": 0.1}
-MAX_BITS = 1 << 24
+WINDOW = 1 << 16
 
 
 def names_someone(value: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
@@ -58,19 +58,18 @@ def tie_edges(ties: DataFrame, node: str = "rec_id", tie: str = "tie", salts: in
     return low.unionByName(high).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of an edge (a, b) the smallest node of its component.
 
     Each round hooks every root onto its smallest neighbouring root if that is smaller, shortcuts the parents until they
     point to roots, and contracts the edges to the roots; it ends when no edge joins two roots. Hooking goes to smaller
-    nodes only, so it makes no cycles. Every table is written before it is read again.
+    nodes only, so it makes no cycles, and the larger end of every edge is hooked, so every round leaves fewer roots. A node
+    is hooked once, so all rounds' parents together are no more than the nodes; they are put together from the last round
+    backwards, each joined once. Every table is written before it is read again.
     """
     hooks: list[DataFrame] = []
     e = stage(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stage(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a").select(F.col("a").alias("node"), "p"), "parent")
         while True:  # shortcut: parent of parent, until all parents are roots
@@ -83,10 +82,14 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("p").alias("ra")), parent.select(F.col("node").alias("b"), F.col("p").alias("rb"))
         e = e.join(pa_, "a", "left").join(pb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
         e = stage(e, "edges")
-    root = nodes.withColumn("root", F.col("node"))
-    for parent in hooks:
-        root = root.join(parent.select(F.col("node").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-    return root
+    if not hooks:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = hooks.pop()
+    for parent in reversed(hooks):
+        up = found.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        found = stage(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")).unionByName(found), "found")
+    roots = found.select(F.col("p").alias("node")).distinct()
+    return found.select("node", F.col("p").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
 def tied_groups(recordings: DataFrame) -> DataFrame:
@@ -95,33 +98,57 @@ def tied_groups(recordings: DataFrame) -> DataFrame:
     return stage(found.select(F.col("node").alias("rec_id"), F.col("root").alias("group_rec_id")), "groups")
 
 
-def choose(sizes: dict[int, int], targets: list[int], max_bits: int = MAX_BITS) -> list[dict[int, int]]:
+def choose(sizes: dict[int, int], targets: list[int], window: int = WINDOW) -> list[dict[int, int]]:
     """For each target in turn, how many components of each size give the closest total that the sizes left over allow.
 
-    Bit t of a bitset says that a total t can be made. Only totals up to a little over the target are kept, and a size with
-    multiplicity m costs log m shifts. Bitsets are kept for every k-th size, and those between are made again when the
-    counts are read back, so memory stays at the square root. Targets beyond ``max_bits`` are first filled with the largest
-    sizes, and the rest is exact.
+    Sizes are divided by their common divisor. A part of the target is filled first, by a fixed rule: of every size the
+    target's share, rounded down, so that a split gets large and small components alike, then whole components in an order
+    by hash, until ``window`` units are left. A bitset finds the best total for those. If that isn't the best there can be at
+    all, nothing but the bitset is known to be exact, and the window grows until it is, or nothing is filled.
     """
-    left = dict(sizes)
+    left = {s: n for s, n in sizes.items() if s > 0 and n > 0}
     out = []
     for target in targets:
-        picked: dict[int, int] = {}
-        rest = max(0, target)
-        for s in sorted((s for s in left if s > 0), reverse=True):
-            if rest <= max_bits:
-                break
-            # No more than needed, so that small sizes are left for the exact part.
-            if n := min(left[s], -(-(rest - max_bits) // s), rest // s):
-                picked[s], rest = n, rest - n * s
-        now = {s: left[s] - picked.get(s, 0) for s in left}
-        for s, n in _subset(now, rest).items():
-            picked[s] = picked.get(s, 0) + n
-        left = {s: n - picked.get(s, 0) for s, n in left.items()}
+        picked = _closest(left, max(0, target), window)
+        left = {s: n - picked.get(s, 0) for s, n in left.items() if n > picked.get(s, 0)}
         out.append(picked)
     return out
 
 
+def _closest(sizes: dict[int, int], target: int, window: int) -> dict[int, int]:
+    if not sizes or not target:
+        return {}
+    unit = math.gcd(*sizes)
+    total = sum(s * n for s, n in sizes.items())
+    ideal = min(target % unit, unit - target % unit) if target < total else target - total
+    off = lambda p: abs(target - sum(s * n for s, n in p.items()))
+    best: dict[int, int] = {}
+    fill = True
+    while True:
+        picked: dict[int, int] = {}
+        rest = min(target, total)
+        if fill:
+            for s, n in sizes.items():
+                if take := n * rest // total:
+                    picked[s] = take
+            rest -= sum(s * n for s, n in picked.items())
+            for s in sorted(sizes, key=_scattered):
+                if take := max(0, min(sizes[s] - picked.get(s, 0), (rest - window * unit) // s)):
+                    picked[s], rest = picked.get(s, 0) + take, rest - s * take
+        goal = target - sum(s * n for s, n in picked.items())
+        now = {s // unit: n - picked.get(s, 0) for s, n in sizes.items()}
+        for s, n in _subset(now, goal // unit, goal % unit / unit).items():
+            picked[s * unit] = picked.get(s * unit, 0) + n
+        best = min(best, picked, key=off)
+        if not fill or off(best) == ideal:
+            return best
+        fill, window = rest > window * unit // 16, window * 16
+
+
+def _scattered(n: int) -> int:
+    return (n * 0x9E3779B97F4A7C15 ^ n >> 7) & (1 << 64) - 1
+
+
 def _shifted(bits: int, size: int, n: int, mask: int) -> int:
     """Add up to n copies of size to every total."""
     step = 1
@@ -132,12 +159,18 @@ def _shifted(bits: int, size: int, n: int, mask: int) -> int:
     return bits
 
 
-def _subset(sizes: dict[int, int], target: int) -> dict[int, int]:
+def _subset(sizes: dict[int, int], target: int, over: float = 0.0) -> dict[int, int]:
+    """How many of each size give the total nearest to ``target + over``, 0 <= over < 1; the smaller of two.
+
+    Bit t of a bitset says that a total t can be made. Only totals up to a little over the target are kept, and a size with
+    multiplicity m costs log m shifts. Bitsets are kept for every k-th size, and those between are made again when the
+    counts are read back, so memory stays at the square root of the number of sizes.
+    """
     items = sorted(((s, n) for s, n in sizes.items() if n > 0 and s > 0), reverse=True)
-    if not items or target <= 0:
+    if not items or target < 0:
         return {}
     # A total further above the target than that is no closer than the empty one or the one without its smallest part.
-    limit = min(sum(s * n for s, n in items), 2 * target, target + items[0][0])
+    limit = min(sum(s * n for s, n in items), 2 * target + 1, target + items[0][0])
     items = [(s, min(n, limit // s)) for s, n in items if s <= limit]
     mask = (1 << (limit + 1)) - 1
     every = max(1, math.isqrt(len(items)))
@@ -148,8 +181,8 @@ def _subset(sizes: dict[int, int], target: int) -> dict[int, int]:
             kept[i] = bits
     below = (bits & ((1 << (target + 1)) - 1)).bit_length() - 1
     above = bits >> (target + 1)
-    over = target + 1 + (above & -above).bit_length() - 1 if above else None
-    total = below if over is None or target - below <= over - target else over
+    beyond = target + 1 + (above & -above).bit_length() - 1 if above else None
+    total = below if beyond is None or target + over - below <= beyond - target - over else beyond
     picked: dict[int, int] = {}
     at = len(items)
     while at and total:
@@ -170,7 +203,8 @@ def _subset(sizes: dict[int, int], target: int) -> dict[int, int]:
 def assign(weights: DataFrame, group: str, weight: str, ratios: dict[str, float] = RATIOS) -> DataFrame:
     """group, split: each group whole in one split. ``weights`` has one row per group with its size (0 allowed).
 
-    Only the number of groups per size comes to the driver, at most about the square root of twice the total size in rows.
+    Only the number of groups per size comes to the driver, at most about the square root of twice the total size in rows;
+    so does the table of bounds, which is small enough to be broadcast by Spark's own size check where it is.
     Within a size, groups are ranked by a hash of their id over all partitions, so the same input gives the same splits.
     The first ratio takes what is left; no group gives an empty table.
     """
@@ -186,7 +220,7 @@ def assign(weights: DataFrame, group: str, weight: str, ratios: dict[str, float]
     named = weights.select(F.col(group).alias("g"), F.col(weight).cast("long").alias("size"), F.xxhash64(group).alias("h"))
     rank = ranked(named, ["size"], ["h", "g"], "r", "ranks")
     hit = (rank["size"] == bounds_df["size"]) & (F.col("r") > F.col("lo")) & (F.col("r") <= F.col("hi"))
-    return rank.join(F.broadcast(bounds_df), hit, "left").select(F.col("g").alias(group), F.coalesce("split", F.lit(first)).alias("split"))
+    return rank.join(bounds_df, hit, "left").select(F.col("g").alias(group), F.coalesce("split", F.lit(first)).alias("split"))
 
 
 def _running(picked: list[dict[int, int]]) -> list[dict[int, int]]:

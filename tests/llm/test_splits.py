@@ -67,9 +67,40 @@ def test_closest_subsets():
         assert abs(target - sum(s * n for s, n in got.items())) == best
 
 
-def test_large_targets_are_filled_before_the_bitset():
-    (got,) = S.choose({1000: 900, 7: 100, 1: 3}, [500_123], max_bits=5000)
+@pytest.mark.parametrize("window", [1, 4, 64, 1 << 16])
+def test_any_window_gives_the_closest_total(window):
+    """Filling a part of the target first changes nothing about how close it gets."""
+    assert sum(s * n for s, n in S.choose({6: 3, 5: 4}, [20], window)[0].items()) == 20
+    rng = random.Random(9)
+    for _ in range(150):
+        sizes = {rng.randint(1, 9) * rng.choice([1, 1, 3]): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        flat = [s for s, n in sizes.items() for _ in range(n)]
+        target = rng.randint(0, sum(flat) + 3)
+        (got,) = S.choose(sizes, [target], window)
+        assert all(0 < n <= sizes[s] for s, n in got.items())
+        best = min(abs(target - sum(c)) for k in range(len(flat) + 1) for c in itertools.combinations(flat, k))
+        assert abs(target - sum(s * n for s, n in got.items())) == best
+
+
+def test_targets_beyond_the_window():
+    (got,) = S.choose({1000: 900, 7: 100, 1: 3}, [500_123], window=5000)
     assert sum(s * n for s, n in got.items()) == 500_122  # 123 can't be made of sevens and three ones
+    # The largest components are shared out like the others.
+    test, valid = S.choose({5_000_000: 4, 10: 10_000_000}, [30_000_000, 30_000_000])
+    assert all(sum(s * n for s, n in p.items()) == 30_000_000 and p.get(5_000_000, 0) <= 2 for p in (test, valid))
+    sizes = {s: 2_000_000_000 // s**2 for s in range(1, 20_000)}
+    total = sum(s * n for s, n in sizes.items())
+    (got,) = S.choose(sizes, [total // 10])
+    assert sum(s * n for s, n in got.items()) == total // 10 and total > 1 << 34
+
+
+def test_many_rounds(spark):
+    """A path whose smallest neighbours alternate takes several rounds; all end at one root."""
+    n = 600
+    order = [f"n{(i * 389) % n:04d}" for i in range(n)]
+    df = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a string, b string")
+    got = S.components(df).collect()
+    assert len(got) == n and {r.root for r in got} == {"n0000"}
 
 
 def test_splits_keep_groups_and_shares(spark):
