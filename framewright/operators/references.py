@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,68 +50,64 @@ def available(t: Table, rows: DataFrame) -> DataFrame:
     return Intervals(rows.select(F.col(t.key).alias("_pk"), start.alias("_a"), ends.alias("_z")), "_pk", "_a", "_z").periods("_from", "_until")
 
 
-def orphans(tables: list[Table], max_rounds: int = 100) -> DataFrame:
+def _at(t: Table) -> Column:
+    return F.col(t.at).cast("timestamp_ntz") if t.at else F.lit(None).cast("timestamp_ntz")
+
+
+def orphans(tables: list[Table]) -> DataFrame:
     """ref_table, row_key (string), column, ref_key, at, kind ('direct' or 'inherited'), round: each orphaned row once.
 
     Direct: no record with the key is available at the row's time. Inherited: there is one, but all such are orphans
-    themselves. Anti-joins run down the graph until a round finds nothing new; a cycle ends as well, since each round only
-    adds orphans. Null references are no orphans. The joins are on the reference, with a row or a few per key on the other
-    side, so AQE splits a hot key without repeating much. Repeated rows count once.
+    themselves. The first round anti-joins every reference; each later one semi-joins the children of records that the round
+    before orphaned, and judges only those by what is left of their parents, until a round finds nothing new. A round only
+    adds orphans, so this ends, with a cycle as well. Null references are no orphans. The joins are on the reference, with a
+    row or a few per key on the other side, so AQE splits a hot key without repeating much. Repeated rows count once.
     """
     spark = tables[0].df.sparkSession
     by = {t.name: t for t in tables}
     links = [(t, c, by[p]) for t in tables for c, p in t.refs.items()]
-    none = "ref_table string, row_key string, column string, ref_key string, at timestamp_ntz, kind string, round int"
-    found: list[DataFrame] = []
-    whole: dict[str, DataFrame] = {}
-    for r in range(max_rounds):
-        lost: dict[str, list[DataFrame]] = {}
-        for df in found:
-            for t in tables:
-                lost.setdefault(t.name, []).append(df.where(F.col("ref_table") == t.name).select("row_key", "at"))
-        new: list[DataFrame] = []
+    if not links:
+        return spark.createDataFrame([], "ref_table string, row_key string, column string, ref_key string, at timestamp_ntz, kind string, round int")
+
+    def judged(t: Table, c: str, parent: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+        """The references of a column that hold nowhere in ``parent``, of all rows or of those that refer to touched keys."""
+        rows = t.df.where(F.col(c).isNotNull()).select(F.lit(t.name).alias("ref_table"), F.col(t.key).cast("string").alias("row_key"), F.lit(c).alias("column"), F.col(c).alias("_ref"), _at(t).alias("at"))
+        if touched is not None:
+            rows = rows.join(touched, F.col("_ref").cast("string") == F.col("_tk"), "left_semi")
+        when = micros(F.col("at"))
+        holds = (F.col("_ref") == F.col("_pk")) & (F.col("at").isNull() | ((F.col("_from") <= when) & (when < F.col("_until"))))
+        return rows.join(parent, holds, "left_anti").select("ref_table", "row_key", "column", F.col("_ref").cast("string").alias("ref_key"), "at").distinct()
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    sound = {p.name: available(p, p.df) for _, _, p in links}
+    r, found = 0, []
+    new = stage(union([judged(t, c, sound[p.name]) for t, c, p in links]).withColumns({"kind": F.lit("direct"), "round": F.lit(0)}), "orphans-0")
+    while not new.isEmpty():
+        found.append(new)
+        r += 1
+        parts = []
         for t, c, parent in links:
-            if r and not parent.refs:  # nothing in it can be orphaned
+            if not parent.refs:  # nothing in it can be orphaned
                 continue
-            at = F.col(t.at).cast("timestamp_ntz") if t.at else F.lit(None).cast("timestamp_ntz")
-            rows = t.df.where(F.col(c).isNotNull()).select(
-                F.lit(t.name).alias("ref_table"), F.col(t.key).cast("string").alias("row_key"), F.lit(c).alias("column"), F.col(c).alias("_ref"), at.alias("at")
-            )
-            if r == 0:
-                sound = whole.setdefault(parent.name, available(parent, parent.df))
-            else:
-                sound = available(parent, _without(parent, lost[parent.name]))
-            when = micros(F.col("at"))
-            holds = (F.col("_ref") == F.col("_pk")) & (F.col("at").isNull() | ((F.col("_from") <= when) & (when < F.col("_until"))))
-            hit = rows.join(sound, holds, "left_anti")
-            for df in found:  # those already known
-                known = df.where((F.col("ref_table") == t.name) & (F.col("column") == c)).select("row_key", F.col("ref_key").alias("_rk"), F.col("at").alias("_at"))
-                hit = hit.join(known, (hit.row_key.eqNullSafe(known.row_key)) & (F.col("_ref").cast("string") == F.col("_rk")) & F.col("at").eqNullSafe(F.col("_at")), "left_anti")
-            new.append(hit.select("ref_table", "row_key", "column", F.col("_ref").cast("string").alias("ref_key"), "at"))
-        if not new:
-            break
-        union = new[0]
-        for df in new[1:]:
-            union = union.unionByName(df)
-        union = union.distinct().withColumns({"kind": F.lit("inherited" if r else "direct"), "round": F.lit(r)})
-        union = stage(union, f"orphans-{r}")
-        if union.isEmpty():
+            lost = union([df.where(F.col("ref_table") == parent.name).select("row_key", "at") for df in found])
+            touched = new.where(F.col("ref_table") == parent.name).select(F.col("row_key").alias("_tk")).distinct()
+            again = judged(t, c, available(parent, _without(parent, lost, touched)), touched)
+            known = union([df.where((F.col("ref_table") == t.name) & (F.col("column") == c)) for df in found]).select("row_key", F.col("ref_key").alias("_rk"), F.col("at").alias("_at"))
+            old = again.row_key.eqNullSafe(known.row_key) & (F.col("ref_key") == F.col("_rk")) & F.col("at").eqNullSafe(F.col("_at"))
+            parts.append(again.join(known.join(touched, F.col("_rk") == F.col("_tk"), "left_semi"), old, "left_anti"))
+        if not parts:
             break
-        found.append(union)
-    out = found[0] if found else spark.createDataFrame([], none)
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
-
-
-def _without(t: Table, lost: list[DataFrame]) -> DataFrame:
-    """A table's rows that are no orphans so far."""
-    rows = t.df
-    at = F.col(t.at).cast("timestamp_ntz") if t.at else F.lit(None).cast("timestamp_ntz")
-    for df in lost:
-        df = df.select(F.col("row_key").alias("_lk"), F.col("at").alias("_la"))
-        rows = rows.join(df, (rows[t.key].cast("string") == df._lk) & at.eqNullSafe(df._la), "left_anti")
-    return rows
+        new = stage(union(parts).withColumns({"kind": F.lit("inherited"), "round": F.lit(r)}), f"orphans-{r}")
+    return union(found) if found else new
+
+
+def _without(t: Table, lost: DataFrame, touched: DataFrame) -> DataFrame:
+    """A table's rows with touched keys that are no orphans so far."""
+    rows = t.df.join(touched, F.col(t.key).cast("string") == F.col("_tk"), "left_semi")
+    df = lost.join(touched, F.col("row_key") == F.col("_tk"), "left_semi").select(F.col("row_key").alias("_lk"), F.col("at").alias("_la"))
+    return rows.join(df, (F.col(t.key).cast("string") == F.col("_lk")) & _at(t).eqNullSafe(F.col("_la")), "left_anti")
 
 
 def per_period(found: DataFrame, period: Callable[[Column], Column] | str = "month") -> DataFrame:

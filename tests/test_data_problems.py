@@ -84,6 +84,19 @@ def test_orphans_in_a_chain_and_a_cycle(spark):
     node = spark.createDataFrame([("a", "missing"), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "id string, up string")
     got = {(r.row_key, r.kind, r.round) for r in orphans([Table("node", node, "id", refs={"up": "node"})]).collect()}
     assert got == {("a", "direct", 0), ("b", "inherited", 1), ("c", "inherited", 2)}
+    chain = spark.createDataFrame([(f"k{i}", f"k{i - 1}") for i in range(14)], "id string, up string")
+    got = {(r.row_key, r.round) for r in orphans([Table("node", chain, "id", refs={"up": "node"})]).collect()}
+    assert got == {(f"k{i}", i) for i in range(14)}
+
+
+def test_orphans_with_several_parents(spark):
+    """A child is an orphan only when all records with its key are; one found late is judged again."""
+    a = spark.createDataFrame([("a1",)], "id string")
+    b = spark.createDataFrame([("b1", "gone", T(0)), ("b1", "a1", T(1)), ("b2", "gone", T(0)), ("b3", "a1", T(0))], "id string, up string, t timestamp_ntz")
+    c = spark.createDataFrame([("c1", "b1", "b2", T(2)), ("c2", "b3", "b1", T(0)), ("c3", "b3", None, T(5))], "id string, one string, two string, t timestamp_ntz")
+    graph = [Table("a", a, "id"), Table("b", b, "id", at="t", start="t", refs={"up": "a"}), Table("c", c, "id", at="t", refs={"one": "b", "two": "b"})]
+    got = {(r.ref_table, r.row_key, r.column, r.kind) for r in orphans(graph).collect()}
+    assert got == {("b", "b1", "up", "direct"), ("b", "b2", "up", "direct"), ("c", "c1", "two", "inherited"), ("c", "c2", "two", "inherited")}
 
 
 def test_compaction_keeps_every_record_once(spark, tmp_path):
