@@ -4,9 +4,10 @@ A text is re-encoded under a candidate legacy encoding and decoded strictly as t
 layers. A change is accepted when a garbling cost drops: the cost counts characters beyond ASCII by how unlikely they are,
 and symbols or capitals inside words. Because ASCII bytes survive every candidate, only the damaged stretches change.
 
-Candidates: UTF-8 read as a legacy code page (any number of layers), Cyrillic code pages and Shift JIS or EUC-JP read as
-Latin, and Cyrillic or Western code pages taken for one another. Text that was lower- or upper-cased after the damage is recognised.
-U+FFFD marks damage that can't be undone.
+Candidates: UTF-8 read as a code page of one byte (any number of layers); Cyrillic, Greek, Hebrew and Arabic code pages and
+Japanese, Korean and Chinese encodings read as Latin; Cyrillic or Western code pages taken for one another. Text that was
+lower- or upper-cased after the damage is recognised. U+FFFD marks damage that can't be undone. A text counts as restored only
+if no sign of damage is left in it. Before a candidate is tried, the characters it could have come from are looked for.
 """
 
 from __future__ import annotations
@@ -22,10 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UTF8_READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250")
+# The other code pages of one byte that Python has; a reading under one of them must explain nearly all that is not ASCII.
+RARELY = (
+    *(f"cp{n}" for n in (1253, 1254, 1255, 1256, 1257, 1258, 737, 775, 852, 855, 857, 858, 860, 861, 862, 863, 864, 865, 869, 874)),
+    *(f"iso8859_{n}" for n in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16)), "koi8_u", "mac_cyrillic", "mac_greek", "mac_iceland", "mac_latin2", "mac_turkish", "ptcp154", "kz1048", "hp_roman8",
+)
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5")
-JAPANESE = ("cp932", "euc_jp")
+GREEK, HEBREW, ARABIC = ("cp1253", "iso8859_7"), ("cp1255", "iso8859_8"), ("cp1256", "iso8859_6")
+EAST_ASIAN = ("cp932", "euc_jp", "cp949", "gbk", "big5")
 WESTERN = ("cp1252", "cp437", "cp850", "mac_roman")
-LAYERS = 6
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфё"  # by frequency
 WEST_LOWER = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ")
 WEST_OTHER = set("ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖØÙÚÜŒ¿¡«»°±µ½¼£§ºª²³×·")
@@ -69,8 +75,22 @@ class _Default(dict):
 
 _CONT = "[\x80-\xbf]"
 _UTF8 = re.compile(f"[\xc2-\xdf]{_CONT}|\xe0[\xa0-\xbf]{_CONT}|[\xe1-\xec\xee\xef]{_CONT}{{2}}|\xed[\x80-\x9f]{_CONT}|\xf0[\x90-\xbf]{_CONT}{{2}}|[\xf1-\xf3]{_CONT}{{3}}")
-_PLAUSIBLE = re.compile("[ -ſƒȘ-țˆ˜Α-ωЁ-џҐґ‐-…‰′″‹›€№™←-↓∀-⋿─-◿✓　-ヿ一-鿿＀-￯﻿​-‍\U0001f300-\U0001faff️]|[\x80-\x9f]")
-_WIDE = re.compile("[　-鿿＀-￯∀-◿\U0001f300-\U0001faff]")
+# What texts are made of: letters of any script in use, typographic signs, emoji.
+_PLAUSIBLE = re.compile(
+    "[ -ſƒȘ-țˆ˜\u0300-\u0304\u0306-\u030c\u0323\u0327\u0328\u0370-\u03ffЁ-џҐґ\u0531-\u0587\u05b0-\u05ea\u060c-\u066d\u067e-\u06d5\u0901-\u0d7f\u0e01-\u0e5b\u10d0-\u10fa\u1e00-\u1fff‐-…‰′″‹›€№™←-↓∀-⋿─-◿✓　-ヿ一-鿿\uac00-\ud7a3＀-￯﻿​-‍\U0001f300-\U0001faff️]|[\x80-\x9f]"
+)
+_WIDE = re.compile("[\u0901-\u0d7f\u0e01-\u0e5b\u10d0-\u10fa\u1e00-\u1fff　-鿿\uac00-\ud7a3＀-￯∀-◿\U0001f300-\U0001faff]")
+# Scripts of which a text has several letters or none.
+_SEVERAL = re.compile("[\u0300-\u036f\u0531-\u0587\u05b0-\u05ea\u060c-\u066d\u067e-\u06d5]")
+# Sequences that are as well a proper word or sign of another script.
+_ONE_SCRIPT = re.compile("[А-Яа-яЁё№«»]+|[\u0370-\u03ff«»]+|[\u0590-\u05ff]+|[\u0600-\u06ff]+|[\u0e00-\u0e7f]+")
+
+
+@cache
+def _leads(enc: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that UTF-8's first bytes and its continuation bytes become under an encoding."""
+    table = _to_byte(enc).items()
+    return frozenset(chr(c) for c, b in table if 0xC2 <= b <= 0xF4), frozenset(chr(c) for c, b in table if 0x80 <= b <= 0xBF)
 
 
 def cost(s: str) -> float:
@@ -100,17 +120,27 @@ def _whole_runs(raw: str) -> dict[int, bool]:
     return out
 
 
+_RUNS = re.compile("[^\x00-\x7f]{2,}")
+_PROPER_RUNS = re.compile("[А-Яа-яЁё«»№ ]+|[぀-ヿ一-鿿　-〿＀-￯…— ]+")
+
+
 def _utf8_layer(text: str) -> tuple[str, str] | None:
     """The best single re-reading as UTF-8, or None."""
     best: tuple[float, str, str] | None = None
-    runs = " ".join(re.findall("[^\x00-\x7f]{2,}", text))
-    for enc in UTF8_READ_AS:
-        if not _UTF8.search(runs.translate(_as_bytes(enc))):
+    runs = " ".join(_RUNS.findall(text))
+    if not runs or _PROPER_RUNS.fullmatch(runs):
+        return None
+    there, explained = set(runs), 0
+    for enc in (*UTF8_READ_AS, *RARELY):
+        if enc == RARELY[0] and best and explained == sum(c > "\x7f" for c in text):
+            break
+        first, more = _leads(enc)
+        if there.isdisjoint(first) or there.isdisjoint(more) or not _UTF8.search(runs.translate(_as_bytes(enc))):
             continue
         raw = text.translate(_as_bytes(enc))
         whole = _whole_runs(raw)
         got: list[tuple[int, int, str]] = []
-        strong = wide = 0
+        strong = wide = several = 0
         end_before = -1
         for m in _UTF8.finditer(raw):
             ch = m[0].encode("latin-1").decode("utf-8")
@@ -121,14 +151,18 @@ def _utf8_layer(text: str) -> tuple[str, str] | None:
             end_before = z
             got.append((a, z, ch))
             wide += bool(_WIDE.match(ch))
-            if enc in ("cp1251", "koi8_r", "cp866") and not re.search("[^А-Яа-яЁё№«»]", text[a:z]):
-                continue  # could be Russian
-            if not whole[a]:
+            if _ONE_SCRIPT.fullmatch(text, a, z) or not whole[a]:
+                continue
+            if _SEVERAL.match(ch):
+                several += near
+                strong += near and several == 3
                 continue
             if lead in "–—" and not near or _WIDE.match(ch) and wide < 2 or "\x80" <= ch < "\xa0":
                 continue
             strong += 1
-        if not strong:
+        if several < 3:
+            got = [x for x in got if not _SEVERAL.match(x[2])]
+        if not strong or enc in RARELY and (strong < 2 or sum(z - a for a, z, _ in got) < 0.8 * sum(c > "\x7f" for c in text)):
             continue
         gain = sum(cost(text[a:z]) - cost(ch) for a, z, ch in got)
         if gain > 0 and (best is None or gain > best[0]):
@@ -137,6 +171,7 @@ def _utf8_layer(text: str) -> tuple[str, str] | None:
                 out += [text[at:a], ch]
                 at = z
             best = (gain, "".join([*out, text[at:]]), enc)
+            explained = sum(z - a for a, z, _ in got)
     return (best[1], f"utf-8 as {best[2]}") if best else None
 
 
@@ -173,42 +208,65 @@ def _upper_layer(text: str) -> tuple[str, str] | None:
     """UTF-8 punctuation read as cp1252 and then upper-cased."""
     if not _UPPER.search(text):
         return None
-    new = _UPPER.sub(lambda m: ("â" + m[0][1:]).translate(_as_bytes("cp1252")).encode("latin-1", "replace").decode("utf-8", "replace"), text)
+
+    def back(m: re.Match) -> str:
+        try:
+            return ("â" + m[0][1:]).translate(_as_bytes("cp1252")).encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return m[0]
+
+    new = _UPPER.sub(back, text)
     return (new, "upper-cased utf-8 as cp1252") if cost(new) < cost(text) else None
 
 
 _LATIN_RUN = re.compile("[À-ÖØ-öø-ÿ¨¸÷×]{3,}")
 
 
-def _russian(s: str) -> float:
-    """Points for letters by frequency; capitals that don't begin a word and what is no Russian letter cost some."""
+# Letters of other scripts by frequency, with the code pages they may have been in.
+SCRIPTS = (
+    (RUSSIAN, CYRILLIC), ("αοιετσνηυρπκμλςωδγχθφβξζψάίέόήύώ", GREEK), ("יוהלאמתרבשנעדקחפכסגטםןצזךףץ", HEBREW), ("اليمنترودبعهسفكحقجةذشطصخضزىثئظغءأإآؤ", ARABIC),
+)
+
+
+def _points(s: str, letters: str = RUSSIAN) -> float:
+    """Points for letters by frequency; capitals that don't begin a word and what is no letter of the script cost some."""
     total = 0.0
     for i, ch in enumerate(s):
-        at = RUSSIAN.find(ch.lower())
-        total += -3 if at < 0 else 1.5 - at / 16
+        at = letters.find(ch.lower())
+        total += -3 if at < 0 else 1.5 - at * 32 / len(letters) / 16
         if at >= 0 and ch.isupper() and i and s[i - 1].islower():
             total -= 3
     return total
 
 
+def _decoded(run: str, enc: str) -> str | None:
+    """A run of characters as the bytes they are in cp1252, strictly decoded."""
+    try:
+        return run.translate(_as_bytes("cp1252")).encode("latin-1").decode(enc)
+    except UnicodeError:
+        return None
+
+
 def _cyrillic_layer(text: str, sure: bool = False) -> tuple[str, str] | None:
+    """A script of its own, in a code page of one byte, read as Latin: the code page under which the runs are the most fluent."""
     runs = _LATIN_RUN.findall(text)
     if not runs or max(map(len, runs)) < 5 and len(runs) < 2:
         return None
     sample = " ".join(runs)
     if sum(ch in "ÃÂÐÑ" for ch in sample) > 0.3 * len(sample):  # lead bytes of UTF-8
         return None
-    raw = sample.translate(_as_bytes("cp1252"))
-    if "￿" in raw:
+    read = [(_points(got.replace(" ", ""), letters) - 0.01 * i - 0.3 * len(got) * got.isupper(), enc, letters) for letters, encs in SCRIPTS for i, enc in enumerate(encs) if (got := _decoded(sample, enc)) is not None]
+    if not read:
         return None
-    read = [(_russian(raw.encode("latin-1").decode(enc, "replace").replace(" ", "")) - 0.01 * i, enc) for i, enc in enumerate(CYRILLIC)]
-    points, enc = max(read)
+    points, enc, letters = max(read)
     if points <= 0 or sure and (points < 0.6 * len(sample) or len(sample) < 15):
         return None
+    if letters != RUSSIAN and (points < 0.45 * len(sample) or len(sample) < 12):
+        return None
 
     def back(run: str) -> str:
-        b = run.translate(_as_bytes("cp1252"))
-        return run if "￿" in b else b.encode("latin-1").decode(enc, "replace")
+        got = _decoded(run, enc)
+        return run if got is None else got
 
     def piece(s: str) -> str:
         if not _LATIN_RUN.search(s):
@@ -225,6 +283,7 @@ FREQUENCY = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщ
 VOWELS = "аеёиоуыэюя"
 # Every mix-up of Cyrillic code pages gives capitals in a row or inside words, letters that Russian lacks, or signs beside letters.
 _CYRILLIC_ODD = re.compile("[Ѐ-ӿ][А-ЯЁ]|[ЂЃЄЅІЇЈЉЊЋЌЎЏѐђ-џҐґ]|[─-▟]|[Ѐ-ӿ][^\x00-\x7fЀ-ӿ\xa0«»“”„’…–—№]|[^\x00-\x7fЀ-ӿ\xa0«»“”„‘’…–—№][Ѐ-ӿ]")
+_CYRILLIC = re.compile("[Ѐ-ӿ─-▟]")
 SWITCH = 4.0  # what the start or end of a damaged stretch costs, in nats; less where a text or sentence begins, more inside a word
 SURE = 7.0  # what all stretches must gain
 
@@ -266,7 +325,7 @@ def _cyrillic_pages_layer(text: str) -> tuple[str, str] | None:
     The best way through two states, as read and as meant, is sought for each pair of code pages, so a stretch may begin
     inside a word and proper words around it stay.
     """
-    if not _CYRILLIC_ODD.search(text) or len(re.findall("[Ѐ-ӿ─-▟]", text)) < 4:
+    if not _CYRILLIC.search(text) or not _CYRILLIC_ODD.search(" ".join(_RUNS.findall(text))) or len(re.findall("[Ѐ-ӿ─-▟]", text)) < 4:
         return None
     at = [i for i, ch in enumerate(text) if ch > "\x7f"]
     starts = {m.end() for m in re.finditer("[.!?]\\s+|\n", text)}
@@ -309,34 +368,48 @@ def _cyrillic_pages_layer(text: str) -> tuple[str, str] | None:
 
 _HIGH = set("\x80\x81\x8d\x8f\x90\x9d€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ") | {chr(c) for c in range(0x80, 0xA0)}
 _KANA = re.compile("[、。ぁ-ヿ一-鿿]")
-
-
-def _japanese_layer(text: str) -> tuple[str, str] | None:
+_HANGUL, _HAN = re.compile("[가-힣]"), re.compile("[一-鿿、。，！？：；]")
+# Frequent syllables and characters, by which Korean and Chinese are known.
+KOREAN = set("이다는을가에의하고지은로를서기도사한나어인자리아시그니라해있대것수일요습")
+CHINESE = set("的一是不了在人有我他这这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现當没动面起看定天分還还进好小部其这這個們來為國說時會對們過發後裡種經沒動")
+_EASTERN = re.compile("(?:[" + "".join(map(re.escape, sorted(_HIGH))) + "][^\x00-\x20]){2}|[\x80-\xffŒœŠšŽžŸƒ€]{4}")
+
+
+def _fluent(new: str, enc: str, high: int) -> bool:
+    """Whether a decoded token is a text in the language of its encoding."""
+    wide = [ch for ch in new if ch > "\x7f"]
+    part = lambda ok: sum(map(bool, map(ok, wide))) / len(wide)
+    if enc in ("cp932", "euc_jp"):
+        return len(wide) >= (4 if enc == "euc_jp" else 2) and (enc == "euc_jp" or high >= 2) and part(_KANA.match) > 0.8 and any("ぁ" <= ch <= "ヿ" for ch in wide)
+    if enc == "cp949":
+        return len(wide) >= 3 and part(_HANGUL.match) > 0.9 and part(KOREAN.__contains__) >= 0.3
+    return len(wide) >= 5 and part(_HAN.match) > 0.9 and part(CHINESE.__contains__) >= 0.2
+
+
+def _east_asian_layer(text: str) -> tuple[str, str] | None:
+    if not _EASTERN.search(text):
+        return None
     layers = []
 
     def back(m: re.Match) -> str:
         token = m[0]
-        if token.isascii():
+        if token.isascii() or "￿" in token.translate(_as_bytes("cp1252")):
             return token
         high = sum(ch in _HIGH for ch in token)
-        raw = token.translate(_as_bytes("cp1252"))
-        if "￿" in raw:
-            return token
-        for enc in JAPANESE:
-            try:
-                new = raw.encode("latin-1").decode(enc)
-            except UnicodeDecodeError:
-                continue
-            wide = [ch for ch in new if ch > "\x7f"]
-            if enc == "euc_jp" and len(wide) < 4 or enc == "cp932" and high < 2:
-                continue
-            if len(wide) >= 2 and sum(bool(_KANA.match(ch)) for ch in wide) > 0.8 * len(wide) and any("ぁ" <= ch <= "ヿ" for ch in wide):
+        for enc in EAST_ASIAN:
+            new = _decoded(token, enc)
+            if new and not new.isascii() and _fluent(new, enc, high):
                 layers.append(enc)
                 return new
+        # Words that are too short to tell alone, where the text around them has told.
         return token
 
-    new = re.sub("[^\x00-\x20]+", back, text)
-    return (new, f"{layers[0]} as cp1252") if layers else None
+    new = re.sub("[!-\xffŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]+", back, text)
+    if not layers:
+        return None
+    if (enc := max(layers, key=layers.count)) in ("cp949", "gbk", "big5"):
+        new = re.sub("[^\x00-\x20]*[\x80-\xff‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]{2}[^\x00-\x20]*", lambda m: _decoded(m[0], enc) or m[0], new)
+    return new, f"{enc} as cp1252"
 
 
 _NEUTRAL = "’‘'–—…\x85\xa0·\u200d\u200b\xad"
@@ -345,7 +418,19 @@ _WORD = re.compile("(?:[A-Za-z]|[^\x00-\x7f])+")
 _INSIDE = re.compile("(?<=[a-z])[^\x00-\x7f](?=[a-z])")
 _BEFORE = re.compile("(?<=[a-z])[^\x00-\x7f](?=[à-öø-ÿß][a-z])|(?<![A-Za-z][A-Z])(?<=[A-Z])[^\x00-\x7f](?=[a-z]{2})")
 _EDGE = re.compile("(?<=[a-z][a-z])[‚¢\x80-\x84\x86-\x9fÀ-ÖØ-ÞŒŠŽΑ-Ω](?![^\\W\\d_])|(?<![^\\W\\d_])[\x80-\x84\x86-\x9f™](?=[a-z]{2})")
-_NUMBER = re.compile("(?<![^ ])ñ(?=[0-9])")
+# Signs that have become a letter or another sign, by what stands beside them: what is read, and what it has to be.
+_LONE = {
+    "ñ": ("(?<![^ ])ñ(?=[0-9])", "±"), "œ": ("(?<![^ (])œ(?=[0-9])", "£"), "ø": ("(?<=[0-9] )ø(?=[CFK]\\b)|(?<=[0-9])ø(?=[CFK]?\\b)|(?<=\\b[Nn])ø(?= ?[0-9])", "°"), "ú": ("(?<![^ \n])ú(?= [0-9]|$)", "·"),
+    "æ": ("(?<=[0-9] )æ(?=[AFVWgms]\\b)", "µ"), "§": ("(?<=\\b[Nn])§(?= ?[0-9])", "º"), "¨": ("(?<![^ \n\"(])¨(?=[A-ZÁÉÍÓÚ][a-zà-ÿ])", "¿"),
+}
+_NUMBER = re.compile("|".join(p for p, _ in _LONE.values()))
+
+
+# One of those, where no proper lower-case letter or mark of the middle of a word stands.
+_WESTERN = re.compile("(?<=[a-z])[^\x00-\x7fß-öø-ÿœšžſ’‘–—…\xa0·\u200d\u200b\xad\u0400-\u1fff\u3000-\uffff](?=[a-zß-öø-ÿ])|(?<=[A-Z])[^\x00-\x7fß-öø-ÿ’‘–—…\xa0](?=[a-z]{2})|" + "|".join(p.pattern for p in (_EDGE, _NUMBER)))
+
+
+_WEST_SIGN = re.compile("[^\x00-\x7f\u0400-\u1fff\u3000-\uffff]")
 
 
 def _odd(ch: str) -> bool:
@@ -371,6 +456,8 @@ def _western_layer(text: str) -> tuple[str, str] | None:
     changes anywhere if no word is proper, else only near damaged words, up to the next proper word or end of a sentence.
     What could as well be proper changes only between damaged words, or in a text of several damaged words and no proper one.
     """
+    if not _WESTERN.search(" ".join([text[max(0, m.start() - 3) : m.end() + 4] for m in _WEST_SIGN.finditer(text)])):
+        return None
     inside = {m.start() for m in _INSIDE.finditer(text)}
     odd = {i for i in inside | {m.start() for m in _BEFORE.finditer(text)} if _odd(text[i])}
     edge = {m.start() for m in _EDGE.finditer(text)}
@@ -388,7 +475,7 @@ def _western_layer(text: str) -> tuple[str, str] | None:
             proper: list[int] = []
             strong = 0
             for k, (_, at) in enumerate(words):
-                signs = sum(i in odd and back.get(text[i]) in WEST_LOWER or i in edge and back.get(text[i], "-").isalpha() or i in number and back.get("ñ") == "±" for i in at)
+                signs = sum(i in odd and back.get(text[i]) in WEST_LOWER or i in edge and back.get(text[i], "-").isalpha() or i in number and back.get(text[i]) == _LONE[text[i]][1] for i in at)
                 against = any(i in inside and text[i] not in _NEUTRAL and back.get(text[i]) not in WEST_LOWER for i in at)
                 if signs and not against:
                     damaged.append(k)
@@ -435,22 +522,29 @@ def _sure_cyrillic_layer(text: str) -> tuple[str, str] | None:
     return _cyrillic_layer(text, True)
 
 
+# What no proper text has: lost characters, controls, box drawings, and two scripts within a word.
+_LEFT = re.compile("[\ufffd\x80-\x84\x86-\x9f\u2500-\u259f]|[A-Za-zÀ-ÖØ-öø-ɏ][\u0370-\u06ff]|[\u0370-\u06ff][A-Za-zÀ-ÖØ-öø-ɏ]|[\u0370-\u04ff][ÂÃâ€Ð¬°][\u0370-\u04ff]")
+
+
 def repair(text: str | None) -> Repair:
-    """Null, empty and ASCII texts are never garbled. ``restored``: nothing of the damage is left that is known to be damage."""
+    """Null, empty and ASCII texts are never garbled. ``restored``: something was changed, and no sign of damage is left.
+
+    Steps are taken until none changes the text, or one would bring back an earlier form of it.
+    """
     if not text or text.isascii():
         return Repair(False, False, text, ())
     layers: list[str] = []
-    now = text
-    for _ in range(LAYERS):
-        for step in (_japanese_layer, _sure_cyrillic_layer, _utf8_layer, _cyrillic_layer, _cyrillic_pages_layer, _western_layer, _folded_layer, _upper_layer):
-            if (got := step(now)) and got[0] != now:
+    now, seen = text, {text}
+    while now:
+        for step in (_east_asian_layer, _sure_cyrillic_layer, _utf8_layer, _cyrillic_layer, _cyrillic_pages_layer, _western_layer, _folded_layer, _upper_layer):
+            if (got := step(now)) and got[0] not in seen:
                 now = got[0]
+                seen.add(now)
                 layers.append(got[1])
                 break
         else:
             break
-    lost = "�" in now
-    return Repair(bool(layers) or lost, bool(layers) and not lost, now, tuple(layers))
+    return Repair(bool(layers) or "\ufffd" in now, bool(layers) and not _LEFT.search(now), now, tuple(layers))
 
 
 SCHEMA = "garbled boolean, restored boolean, restored_text string, layers array<string>"

@@ -121,6 +121,55 @@ def test_proper_texts(text):
     assert not M.repair(text).garbled
 
 
+SCRIPTS = {
+    "ko": "한국어 텍스트가 깨졌습니다", "ar": "مرحبا بالعالم هذا نص عربي", "hi": "नमस्ते दुनिया यह हिंदी है", "th": "สวัสดีชาวโลก", "he": "שלום עולם זה טקסט בעברית",
+    "el": "Καλημέρα κόσμε, αυτό είναι ελληνικό κείμενο", "vi": "Tiếng Việt rất đẹp và khó đọc", "zh": "我们今天去学校学习中文这是一个很好的机会",
+}
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_other_scripts(lang):
+    text = SCRIPTS[lang]
+    assert not M.repair(text).garbled
+    got = M.repair(read(text, "cp1252"))
+    assert got.restored and got.text == text
+
+
+@pytest.mark.parametrize(("lang", "meant"), [("el", "cp1253"), ("el", "iso8859_7"), ("he", "cp1255"), ("ar", "cp1256"), ("ko", "cp949"), ("zh", "gbk")])
+def test_other_encodings_as_latin(lang, meant):
+    got = M.repair(read(SCRIPTS[lang], "cp1252", meant))
+    assert got.garbled and got.restored and got.text == SCRIPTS[lang]
+
+
+@pytest.mark.parametrize("as_", ["cp1254", "cp852", "koi8_u", "cp861"])
+def test_rare_code_pages(as_):
+    assert M.repair(read(RUSSIAN, as_)).text == RUSSIAN
+
+
+@pytest.mark.parametrize("layers", [1, 6, 7, 11])
+def test_any_number_of_layers(layers):
+    text = "café déjà"
+    for _ in range(layers):
+        text = read(text, "cp1252")
+    got = M.repair(text)
+    assert got.restored and got.text == "café déjà"
+
+
+@pytest.mark.parametrize(("garbled", "text"), [("lead paid œ1666 for it", "lead paid £1666 for it"), ("it was 9339 øC behind", "it was 9339 °C behind"), ("the annotator ú 2253", "the annotator · 2253"), ("prueba n§ 12", "prueba nº 12")])
+def test_lone_signs(garbled, text):
+    assert M.repair(garbled).text == text
+
+
+@pytest.mark.parametrize("text", ["demain l’élève a reporté, l’été, l’église, l’écran, l’époque", "L’œuvre no 7, øre, œ", "§ 5 und Nr. 7 · 8", "Ça va, cœur, ø"])
+def test_signs_that_are_proper(text):
+    assert not M.repair(text).garbled
+
+
+def test_half_repaired_is_not_restored():
+    got = M.repair(f"{read(JAPANESE, 'cp1252', 'cp932')} \x81 ЊЊЃ \x8d")
+    assert got.garbled and not got.restored
+
+
 def test_table(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, read("café", "cp1252"), "x"), (3, read("café", "cp1252"), "x"), (4, "caf�", None), (5, "ok é", "x"), (6, read("é " * 40000, "cp437"), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, garbled string")
