@@ -23,6 +23,30 @@ def test_different(a, b):
     assert L.consistent(a, PATTERNS) != L.consistent(b, PATTERNS)
 
 
+def test_a_longer_pattern_wins_over_its_first_character():
+    patterns = L.rewriting({c: 9 for c in "abcdefghijklmnopqrstuvwxyzø"} | {"ı": 1, "…": 50, "...": 3, "і": 2})
+    assert patterns["ı"] == "i" and patterns["ı̇"] == "i" and patterns["o\u0338"] == "ø"
+    frozen = frozenset(patterns.items())
+    assert L.consistent("ıstanbul i̇zmir ı̇", frozen) == "istanbul izmir i"
+    assert L.consistent("o\u0338l", frozen) == L.consistent("øl", frozen) == "øl"
+    # The more frequent of a string and its short form, wherever the short form began.
+    assert L.consistent("a... b…. c.… d....", frozen) == "a… b…. c…. d…."
+    spelled = frozenset(L.rewriting({"…": 1, "...": 30, ".": 90}).items())
+    assert L.consistent("a... b…", spelled) == "a... b..."
+    assert L.consistent("і\u0307", frozen) == "i"  # by the letter it has become
+
+
+def test_more_scripts():
+    for a, b in (("Ꮪtop"[1:], "top"), ("Ꭺlpha", "Alpha"), ("ⲟld", "old"), ("ǀ", "|"), ("ǁ", "||"), ("ⲢⲞ", "PO")):
+        assert L.consistent(a, PATTERNS) == L.consistent(b, PATTERNS)
+
+
+def test_relations_from_a_file(tmp_path):
+    (tmp_path / "c.txt").write_text("\ufeff# head\n0271 ;\t006D ;\tMA\t# ɱ\n\n10E7 ; 0079 ; MA\nA7F0 ; 0072 006E ; MA\n", encoding="utf-8")
+    frozen = frozenset(L.rewriting(CORPUS, str(tmp_path / "c.txt")).items())
+    assert L.consistent("ɱaყ ꟰", frozen) == L.consistent("may rn", frozen) == "may rn"
+
+
 def test_form_is_stable():
     for text in ("Нет, это не то", "café ﬁ", "ガパ", ""):
         once = L.consistent(text, PATTERNS)
