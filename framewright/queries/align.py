@@ -24,24 +24,44 @@ def d_pairs(words) -> str:
   JOIN (SELECT DISTINCT utt_id, coalesce(lang, 'none') AS lang, text AS r FROM transcription WHERE utt_id IS NOT NULL AND text IS NOT NULL) USING (utt_id))"""
 
 
-COST, SUB, DEL, INS = 1 << 48, 1 << 32, 1 << 16, 1
+def d_paths(words, ties: str) -> str:
+    """recog_id, lang, ref, hyp, path (a letter C, S, D or I per operation) by a recursive query over the rows of the cost table.
 
-
-def d_table(words, ties: str) -> str:
-    """recog_id, lang, n, c, s, d, i by a recursive query over the rows of the cost table."""
+    Every cell holds its cost and the operations that led to it, so the path that tie order chooses is there as well."""
+    same = "p.ref[t.k + 1] = p.hyp[x[1]]"
+    cell = lambda cost, path: f"{{'c': ({cost})::BIGINT, 'p': {path}}}"
     moves = {
-        "m": f"t.cells[j] + CASE WHEN p.ref[t.k + 1] = p.hyp[j] THEN 0::BIGINT ELSE {COST + SUB}::BIGINT END",
-        "d": f"t.cells[j + 1] + {COST + DEL}::BIGINT",
-        "i": f"acc[j] + {COST + INS}::BIGINT",
+        "m": (f"t.cells[x[1]].c + CASE WHEN {same} THEN 0 ELSE 1 END", f"t.cells[x[1]].p || CASE WHEN {same} THEN 'C' ELSE 'S' END"),
+        "d": ("t.cells[x[1] + 1].c + 1", "t.cells[x[1] + 1].p || 'D'"),
+        "i": ("acc[x[1]].c + 1", "acc[x[1]].p || 'I'"),
     }
-    a, b, c = (f"({moves[x]})" for x in ties)
-    best = f"CASE WHEN {a} // {COST} <= {b} // {COST} AND {a} // {COST} <= {c} // {COST} THEN {a} WHEN {b} // {COST} <= {c} // {COST} THEN {b} ELSE {c} END"
-    row = f"list_reduce(list_transform(range(1, len(p.hyp) + 1), lambda x: [x]), lambda acc, x: list_append(acc, {best.replace('acc[j]', 'acc[x[1]]').replace('cells[j]', 'cells[x[1]]').replace('cells[j + 1]', 'cells[x[1] + 1]').replace('hyp[j]', 'hyp[x[1]]')}), [t.cells[1] + {COST + DEL}::BIGINT])"
+    (a, pa), (b, pb), (c, pc) = (moves[x] for x in ties)
+    best = f"CASE WHEN {a} <= {b} AND {a} <= {c} THEN {cell(a, pa)} WHEN {b} <= {c} THEN {cell(b, pb)} ELSE {cell(c, pc)} END"
+    # The first argument of a reduction must have the type of its result, so columns go as lists of one cell.
+    row = f"list_reduce(list_transform(range(1, len(p.hyp) + 1), lambda q: [{cell('q', chr(39) * 2)}]), lambda acc, y: list_append(acc, {best.replace('x[1]', 'y[1].c')}), [{cell('t.cells[1].c + 1', 't.cells[1].p || ' + chr(39) + 'D' + chr(39))}])"
     return f"""(WITH RECURSIVE p AS (SELECT row_number() OVER () AS id, * FROM {d_pairs(words)}),
-t(id, k, cells) AS (SELECT id, 0, list_transform(range(0, len(hyp) + 1), lambda q: (q * {COST + INS})::BIGINT) FROM p
+t(id, k, cells) AS (SELECT id, 0, list_transform(range(0, len(hyp) + 1), lambda q: {cell('q', "repeat('I', q::INT)")}) FROM p
   UNION ALL SELECT t.id, t.k + 1, {row} FROM t JOIN p ON t.id = p.id WHERE t.k < len(p.ref))
-SELECT p.recog_id, p.lang, len(p.ref)::BIGINT AS n, len(p.ref)::BIGINT - z // {SUB} % 65536 - z // {DEL} % 65536 AS c, z // {SUB} % 65536 AS s, z // {DEL} % 65536 AS d, z % 65536 AS i
-FROM (SELECT id, k, cells[-1] AS z FROM t) t JOIN p ON t.id = p.id AND t.k = len(p.ref))"""
+SELECT p.recog_id, p.lang, p.ref, p.hyp, t.cells[-1].p AS path FROM t JOIN p ON t.id = p.id AND t.k = len(p.ref))"""
+
+
+def d_number(op: str) -> str:
+    return f"len(path) - len(replace(path, '{op}', ''))"
+
+
+def d_table(words, ties: str) -> str:
+    """recog_id, lang, n, c, s, d, i, path."""
+    return f"(SELECT recog_id, lang, len(ref)::BIGINT AS n, {', '.join(f'({d_number(op)})::BIGINT AS {op.lower()}' for op in 'CSDI')}, path FROM {d_paths(words, ties)})"
+
+
+def d_ops(words, ties: str) -> str:
+    """recog_id, lang, ref, hyp, k, op, ref_idx, hyp_idx: a row per operation, indices from 0."""
+    before = lambda op: f"len(replace(path[:k], '{op}', '')) - 1"
+    return f"(SELECT *, path[k] AS op, {before('I')} AS ref_idx, {before('D')} AS hyp_idx FROM (SELECT *, unnest(range(1, len(path) + 1)) AS k FROM {d_paths(words, ties)}))"
+
+
+def path(ops):
+    return F.array_join(F.transform(ops, lambda o: o["op"]), "")
 
 
 def wer_words(c):
@@ -68,7 +88,7 @@ EQUALITY = {
 def counted(spark, d, name: str):
     words, _, ties = EQUALITY[name]
     rows = pairs(spark, d, words, words).withColumn("ops", A.align(F.col("ref"), F.col("hyp"), ties))
-    return rows.select("recog_id", "lang", F.size("ref").cast("long").alias("n"), *[c.alias(k) for k, c in A.op_counts(F.col("ops")).items()])
+    return rows.select("recog_id", "lang", F.size("ref").cast("long").alias("n"), *[c.alias(k) for k, c in A.op_counts(F.col("ops")).items()], path(F.col("ops")).alias("path"))
 
 
 def register(name: str) -> None:
@@ -117,18 +137,26 @@ def _tokens(spark, d):
     return A.token_counters(rows, "ref", "hyp", "ops")
 
 
-@query("AGG03_token_counters")
+D_TOKENS = f"""(SELECT CASE WHEN op = 'I' THEN hyp[hyp_idx + 1] ELSE ref[ref_idx + 1] END AS token, count(*) FILTER (op <> 'I') AS n_all, count(*) FILTER (op = 'C') AS cor, count(*) FILTER (op = 'S') AS sub,
+  count(*) FILTER (op = 'D') AS del, count(*) FILTER (op = 'I') AS ins FROM {d_ops(d_wer_words, A.WER_TIES)} GROUP BY 1)"""
+
+
+@query("AGG03_token_counters", f"SELECT * FROM {D_TOKENS}")
 def token_counters(spark, d):
     return _tokens(spark, d)
 
 
-@query("AGG04_cluster_wer")
+@query("AGG04_cluster_wer", f"""SELECT cluster, sum(n_all)::BIGINT AS n_all, sum(cor)::BIGINT AS cor, sum(sub)::BIGINT AS sub, sum(del)::BIGINT AS del, sum(ins)::BIGINT AS ins,
+  round(CASE WHEN sum(n_all) > 0 THEN (sum(sub) + sum(del) + sum(ins)) * 100.0::DOUBLE / sum(n_all) ELSE 0 END, 6) AS wer FROM (SELECT {Q.d_cluster('token')} AS cluster, * FROM {D_TOKENS}) GROUP BY cluster""")
 def cluster_wer(spark, d):
     by = _tokens(spark, d).groupBy(T.script_cluster(F.col("token")).alias("cluster")).agg(*[F.sum(x).alias(x) for x in ("n_all", "cor", "sub", "del", "ins")])
     return by.withColumn("wer", F.round(A.wer(F.expr("sub + del + ins"), F.col("n_all")), 6))
 
 
-@query("LBL13_hyp_word_labels")
+LABELS = f"(SELECT recog_id, hyp_idx::INT AS hyp_idx, CASE WHEN op = 'C' THEN 0 ELSE 1 END AS label FROM {d_ops(EQUALITY['ALN03_token_labels'][1], A.TOKEN_TIES)} WHERE op <> 'D')"
+
+
+@query("LBL13_hyp_word_labels", f"SELECT * FROM {LABELS}")
 def hyp_word_labels(spark, d):
     words, _, ties = EQUALITY["ALN03_token_labels"]
     ops = pairs(spark, d, words, words).select("recog_id", F.explode(A.align(F.col("ref"), F.col("hyp"), ties)).alias("o"))

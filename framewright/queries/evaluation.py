@@ -17,8 +17,8 @@ from framewright.operators import metrics as M
 from framewright.operators import tokens as K
 from framewright.plans.tables import staged_path, table
 from framewright.queries import text as Q
-from framewright.queries.align import EQUALITY, pairs
-from framewright.queries.joins import segments, with_offsets
+from framewright.queries.align import EQUALITY, LABELS, d_ops, d_paths, pairs
+from framewright.queries.joins import D_BEST, D_OFFSETS, segments, with_offsets
 from framewright.sources import readers as R
 from framewright.sources import writers as W
 from framewright.streaming import frames as ST
@@ -39,14 +39,15 @@ def evaluated(spark, d):
     return K.evaluate_words(utterances(spark, d))
 
 
-@query("JON16_predecessor_positions")
+@query("JON16_predecessor_positions", f"SELECT recog_id, list_transform(list_filter(range(1, len(path) + 1), lambda k: path[k] = 'D'), lambda k: len(replace(path[:k], 'D', ''))::INT) AS positions FROM {d_paths(EQUALITY['ALN05_word_eval'][1], A.WORD_TIES)}")
 def predecessor_positions(spark, d):
     w, _, ties = EQUALITY["ALN05_word_eval"]
     rows = pairs(spark, d, w, w).withColumn("ops", A.align(F.col("ref"), F.col("hyp"), ties))
     return rows.select("recog_id", K.deletion_positions(F.col("ops")).alias("positions"))
 
 
-@query("LBL14_token_labels")
+@query("LBL14_token_labels", f"""SELECT recog_id, '[' || array_to_string(list_transform(range(1, len(tokens) + 1), lambda i: tokens[i].start || ':' || coalesce(w[best[i] + 1], 0)), ',') || ']' AS labels
+  FROM (SELECT recog_id, tokens, {D_BEST} AS best FROM {D_OFFSETS}) JOIN (SELECT recog_id, list(label ORDER BY hyp_idx) FILTER (hyp_idx >= 0) AS w FROM (SELECT recog_id, -1 AS hyp_idx, 0 AS label FROM {d_paths(EQUALITY['ALN03_token_labels'][1], A.TOKEN_TIES)} UNION ALL FROM {LABELS}) GROUP BY recog_id) USING (recog_id)""")
 def token_labels(spark, d):
     words, _, ties = EQUALITY["ALN03_token_labels"]
     ops = pairs(spark, d, words, words).select("recog_id", A.align(F.col("ref"), F.col("hyp"), ties).alias("ops"))
@@ -55,7 +56,10 @@ def token_labels(spark, d):
     return t.select("recog_id", L.label_text(K.token_labels(F.col("w"), K.best_words(F.col("tokens"), F.col("words")), F.col("tokens"))).alias("labels"))
 
 
-@query("LBL15_frame_events")
+@query("LBL15_frame_events", f"""WITH o AS (SELECT recog_id, k, CASE WHEN op = 'D' THEN ref_idx ELSE hyp_idx END * 4 AS s, CASE op WHEN 'C' THEN 0 WHEN 'D' THEN 2 ELSE 1 END AS label FROM {d_ops(EQUALITY['ALN04_pairs'][1], A.PAIR_TIES)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY recog_id ORDER BY s DESC, k DESC) AS back FROM o),
+f AS (SELECT recog_id, s, k, label, unnest(range(s, s + CASE WHEN back = 1 THEN 4 ELSE 3 END)) AS frame FROM r)
+SELECT p.recog_id, '[' || coalesce(labels, '') || ']' AS labels FROM {d_paths(EQUALITY['ALN04_pairs'][1], A.PAIR_TIES)} p LEFT JOIN (SELECT recog_id, string_agg(frame || ':' || label, ',' ORDER BY s, k, frame) AS labels FROM f GROUP BY recog_id) USING (recog_id)""")
 def frame_events(spark, d):
     words, _, ties = EQUALITY["ALN04_pairs"]
     rows = pairs(spark, d, words, words).withColumn("ops", A.align(F.col("ref"), F.col("hyp"), ties))

@@ -124,7 +124,15 @@ def with_offsets(spark, d):
     return w.select("recog_id", words.alias("words")).withColumn("tokens", F.flatten(F.transform("words", piece)))
 
 
-@query("JON13_best_word")
+# The same words and tokens in the other dialect, offsets from prefix sums of the lengths.
+D_OFFSETS = f"""(SELECT recog_id, words, flatten(list_transform(words, lambda x: list_transform(range(0, (len(x.word) + 1) // 2), lambda k: {{'start': x.start + 2 * k, 'end': least(x.start + 2 * k + 2, x.end), 'char': substr(x.word, 2 * k + 1, 2)}}))) AS tokens
+  FROM (SELECT recog_id, list_transform(range(1, len(w) + 1), lambda i: {{'start': (len(array_to_string(w[1:i], ' ')) - len(w[i]))::INT, 'end': len(array_to_string(w[1:i], ' '))::INT, 'word': w[i]}}) AS words
+  FROM (SELECT DISTINCT recog_id, {Q.d_words('text')} AS w FROM recog WHERE text IS NOT NULL)))"""
+D_SCORES = "list_transform(words, lambda w: greatest(0, least(t.end, w.end) - greatest(t.start, w.start)) + CASE WHEN w.start <= t.start AND t.start <= w.end THEN 10 ELSE 0 END)"
+D_BEST = f"list_transform(tokens, lambda t: list_position({D_SCORES}, list_max({D_SCORES}))::INT - 1)"
+
+
+@query("JON13_best_word", f"SELECT recog_id, {D_BEST} AS word_of_token FROM {D_OFFSETS}")
 def best_word(spark, d):
     t = with_offsets(spark, d)
     return t.select("recog_id", K.best_words(F.col("tokens"), F.col("words")).alias("word_of_token"))

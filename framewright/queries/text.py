@@ -106,10 +106,14 @@ def punctuation_words(spark, d):
     return words.where(T.punctuation_only(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("TXT08_script_cluster", f"""SELECT cluster, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^[0-9]+$') THEN 'Number'
-    WHEN regexp_matches(t, '^[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{323AF}}]+$') THEN 'Mandarin'
-    WHEN regexp_matches(t, '^[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]+$') THEN 'English' WHEN regexp_matches(t, '^[ぁ-ゖ]+$') THEN 'Japanese' ELSE 'Other' END AS cluster
-  FROM (SELECT regexp_replace({d_unnamed('word')}, '[&''@℃=.\\-_#+;]', '', 'g') AS t FROM (SELECT unnest({d_words('text')}) AS word FROM documents))) GROUP BY cluster""")
+def d_cluster(word: str) -> str:
+    t = f"regexp_replace({d_unnamed(word)}, '[&''@℃=.\\-_#+;]', '', 'g')"
+    return f"""CASE WHEN regexp_matches({t}, '^[0-9]+$') THEN 'Number'
+    WHEN regexp_matches({t}, '^[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{323AF}}]+$') THEN 'Mandarin'
+    WHEN regexp_matches({t}, '^[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]+$') THEN 'English' WHEN regexp_matches({t}, '^[ぁ-ゖ]+$') THEN 'Japanese' ELSE 'Other' END"""
+
+
+@query("TXT08_script_cluster", f"SELECT cluster, count(*) AS n FROM (SELECT {d_cluster('word')} AS cluster FROM (SELECT unnest({d_words('text')}) AS word FROM documents)) GROUP BY cluster")
 def script_clusters(spark, d):
     words = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word"))
     return words.groupBy(T.script_cluster(F.col("word")).alias("cluster")).agg(F.count("*").alias("n"))
