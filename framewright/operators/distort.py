@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as L
-from framewright.operators.joins import uniform
+from framewright.operators.joins import draw, uniform
+from framewright.plans.scan import ranked
 
 LABELS = {"clean": 0, "noise": 1, "rir": 2, "interference": 3, "packet_loss": 4, "missing": 5, "rir_noise": 6, "rir_interference": 7}
 EVENT = "array<struct<type:string,label:int,start:double,end:double,snr_db:double>>"
@@ -57,7 +59,7 @@ def zero_segment(x: Column, start: Column, end: Column, rate: int = RATE, ms: fl
 
 def drop_packets(x: Column, key: Column, rate_lost: float = 0.1, packet: int = 320, seed: int = 0) -> Column:
     """Silence whole packets, each with the given probability; what is left after the last whole packet stays."""
-    lost = lambda p: F.pmod(F.xxhash64(F.lit(seed), key, p.cast("long")), F.lit(1 << 53)) / float(1 << 53) < rate_lost
+    lost = lambda p: draw(seed, key, p) < rate_lost
 
     def packets(v: Column) -> Column:
         whole = F.floor(F.size(v) / packet).cast("int")
@@ -72,7 +74,7 @@ def word_augmentation(words: Column, key: Column, p_missing: float = 0.1, p_pack
     """One draw a word, in bands missing, packet loss, interference, noise; a band whose pool is absent does nothing."""
 
     def one(w: Column, i: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(1 << 53)) / float(1 << 53)
+        u = draw(seed, key, i)
         kind = F.when(u < p_missing, "missing").when(u < p_missing + p_packet, "packet_loss")
         kind = kind.when(u < p_missing + p_packet + p_interference, "interference" if "interference" in pools else None).when(u < p_missing + p_packet + p_interference + p_noise, "noise" if "noise" in pools else None)
         return F.struct(kind.alias("type"), w["start"].alias("start"), w["end"].alias("end"))
@@ -90,7 +92,7 @@ def placed(key: Column, total: Column, lo: float, hi: float, n_max: int, kind: s
     n = F.floor(uniform(key, seed, 0) * n_max).cast("int") + 1
 
     def one(i: Column) -> Column:
-        u = lambda k: F.pmod(F.xxhash64(F.lit(seed), key, F.lit(k), i), F.lit(1 << 53)) / float(1 << 53)
+        u = lambda k: draw(seed, key, k, i)
         dur = F.least(lo + (hi - lo) * u(1), 0.8 * total / n)
         at = u(2) * (total - dur)
         return event(kind, at, at + dur, (snr[0] + (snr[1] - snr[0]) * u(3)) if snr else None)
@@ -98,23 +100,6 @@ def placed(key: Column, total: Column, lo: float, hi: float, n_max: int, kind: s
     return F.transform(L.span(F.lit(0), n), one).cast(EVENT)
 
 
-def pack(total: float, wanted: list[tuple[str, float]], rng: np.random.Generator, gap: float = 0.1, tries: int = 100, most: float = 0.3) -> list[tuple[str, float, float]]:
-    """Longest first, at most 0.3 of the total each, with a gap between; what finds no place in 100 tries is dropped."""
-    out: list[tuple[str, float, float]] = []
-    for kind, dur in sorted(wanted, key=lambda x: -x[1]):
-        dur = min(dur, total * most)
-        if total - dur <= 0:
-            continue
-        starts = rng.uniform(0, total - dur, tries)
-        free = np.ones(tries, bool)
-        for _, s, e in out:
-            free &= (starts + dur + gap <= s) | (starts >= e + gap)
-        if free.any():
-            a = float(starts[free.argmax()])
-            out.append((kind, a, a + dur))
-    return sorted(out, key=lambda x: x[1])
-
-
 def rng_of(*key: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest(), "big"))
 
@@ -122,24 +107,40 @@ def rng_of(*key: object) -> np.random.Generator:
 def chosen_set(key: Column, kinds: tuple[str, ...], lo: int, hi: int, seed: int) -> Column:
     """lo..hi of the kinds without replacement."""
     n = F.floor(uniform(key, seed, 91) * (hi - lo + 1)).cast("int") + lo
-    order = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(seed), key, F.lit(k)).alias("h"), F.lit(k).alias("kind")) for k in kinds]))
+    order = F.array_sort(F.array(*[F.struct(draw(seed, key, k).alias("h"), F.lit(k).alias("kind")) for k in kinds]))
     return F.transform(F.slice(order, F.lit(1), n), lambda x: x["kind"])
 
 
-def packed_events(key: Column, total: Column, kinds: Column, seed: int, lo: float = 0.3, hi: float = 2.0) -> Column:
-    """Non-overlapping intervals, one or two of each kind, by a generator seeded with the key."""
+GOLDEN = 0.6180339887498949
 
-    @F.pandas_udf(EVENT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ks, ts, sets in batches:
-            out = []
-            for k, t, s in zip(ks, ts, sets, strict=True):
-                rng = rng_of(seed, k)
-                wanted = [(x, rng.uniform(lo, hi)) for x in s for _ in range(int(rng.integers(1, 3)))]
-                out.append([{"type": x, "label": LABELS[x], "start": a, "end": e, "snr_db": float(rng.uniform(-5, 20)) if x in ("noise", "interference") else None} for x, a, e in pack(float(t), wanted, rng)])
-            yield pd.Series(out, dtype=object)
 
-    return run(key, total, kinds)
+def packed_events(key: Column, total: Column, kinds: Column, seed: int, lo: float = 0.3, hi: float = 2.0, gap: float = 0.1, tries: int = 100, most: float = 0.3) -> Column:
+    """Non-overlapping intervals, one or two of each kind, of lo..hi seconds but at most 0.3 of the total, with a gap between.
+
+    The longest is placed first, where the first of 100 tries finds room; what finds none is dropped. The tries of an interval
+    start at a draw and go on in steps of the golden ratio, around the total.
+    """
+
+    def wanted(k: Column) -> Column:
+        def one(q: Column) -> Column:
+            dur = F.least(lo + (hi - lo) * draw(seed, key, k, q, "d"), most * total)
+            return F.struct((-dur).alias("minus"), k.alias("type"), q.alias("q"), draw(seed, key, k, q, "t").alias("u"), draw(seed, key, k, q, "s").alias("s"))
+
+        return F.transform(L.span(F.lit(0), F.floor(draw(seed, key, k, "n") * 2).cast("int") + 1), one)
+
+    label = lambda k: reduce(lambda c, x: c.when(k == x, LABELS[x]), list(LABELS)[1:], F.when(k == "clean", 0))
+
+    def place(placed: Column, w: Column) -> Column:
+        room = total + w["minus"]
+        starts = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.pmod(w["u"] + i * F.lit(GOLDEN), F.lit(1.0)) * room)
+        free = F.filter(starts, lambda a: ~F.exists(placed, lambda e: (a - w["minus"] + gap > e["start"]) & (a < e["end"] + gap)))
+        snr = F.when(w["type"].isin("noise", "interference"), w["s"] * 25.0 - 5.0)
+        first = F.transform(F.slice(free, 1, 1), lambda a: F.struct(w["type"].alias("type"), label(w["type"]).cast("int").alias("label"), a.alias("start"), (a - w["minus"]).alias("end"), snr.alias("snr_db")))
+        return F.when(room > 0, F.concat(placed, first.cast(EVENT))).otherwise(placed)
+
+    order = F.array_sort(F.flatten(F.transform(kinds, wanted)))
+    by_start = lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0)
+    return F.array_sort(F.aggregate(order, F.array().cast(EVENT), place), by_start)
 
 
 def signal(f: Callable[..., np.ndarray], *columns: Column) -> Column:
@@ -220,8 +221,10 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     out = np.zeros(m // 2 + 1, complex)
     k = min(len(s), len(out))
     out[:k] = s[:k]
-    if k == m // 2 + 1 and m % 2 == 0 and m < len(x):
-        out[-1] = out[-1].real * 2 if len(s) > k else out[-1]
+    if m < len(x) and m % 2 == 0:  # what was at both signs of the new highest frequency
+        out[-1] = out[-1].real * 2
+    elif m > len(x) and len(x) % 2 == 0:  # the old highest one is shared out again
+        out[k - 1] = out[k - 1] / 2
     return np.fft.irfft(out, m) * m / len(x)
 
 
@@ -288,3 +291,91 @@ def simulate(segments: DataFrame, programs: tuple[str, ...] | None = None, seed:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.drop("_t")
+
+
+# --- The same programs on audio ---
+
+ROOMS = 5
+
+
+def room(number: int, taps: int = 32) -> np.ndarray:
+    """A short room response: a direct impulse and echoes that decay by 60 dB, another one for each number."""
+    k = np.arange(taps)
+    h = np.exp(-6.9078 * k / taps) * np.cos(k * (number + 1.0))
+    return h / np.abs(h).max()
+
+
+def apply_events(x: np.ndarray, events: list, sources: dict, rate: int, room_no: int | None, lost: dict, ramp_ms: float = 5.0, packet: int = 32) -> np.ndarray:
+    """The room over everything, then what is added, at its level below the clean signal of its interval, then what is lost.
+
+    ``sources``: event number -> waveform, repeated if too short. ``lost``: event number -> which of its packets are gone.
+    A missing stretch has linear ramps outside of it. A peak over 1 scales the whole.
+    """
+    x = np.asarray(x, float)
+    n = len(x)
+    y = convolve(x, room(room_no)) if room_no is not None else x.copy()
+    span = lambda e: (min(n, int(e["start"] * rate)), min(n, int(e["end"] * rate)))
+    for i, e in enumerate(events):
+        a, z = span(e)
+        if i in sources and z > a and e["snr_db"] is not None:
+            part = np.resize(np.asarray(sources[i], float), z - a)
+            y[a:z] += part * (_rms(x[a:z]) / 10 ** (e["snr_db"] / 20) / _rms(part))
+    top = np.abs(y).max() if n else 0.0
+    y = y / top if top > 1 else y
+    for i, e in enumerate(events):
+        a, z = span(e)
+        if e["type"] == "packet_loss":
+            for p, gone in enumerate(lost.get(i, [])):
+                if gone:
+                    y[a + p * packet : min(z, a + (p + 1) * packet)] = 0
+        elif e["type"] == "missing" and z > a:
+            m = int(ramp_ms * rate / 1000)
+            b, c = min(m, a), min(m, n - z)
+            y[a - b : a] *= 1 - (np.arange(b) / (b - 1) if b > 1 else np.zeros(b))
+            y[z : z + c] *= np.arange(c) / (c - 1) if c > 1 else np.zeros(c)
+            y[a:z] = 0
+    return y
+
+
+ADDED = ("noise", "interference", "rir_noise")
+IN_A_ROOM = ("rir", "rir_noise", "multi_dist_rir")
+
+
+def simulate_audio(recordings: DataFrame, programs: tuple[str, ...] | None = None, seed: int = 0, key: str = "archive_id", audio: str = "x", rate: int = RATE, packet: int = 32, p_lost: float = 0.5) -> DataFrame:
+    """Each recording under each program: key, program, events, room, num_frames, labels, y (the changed samples).
+
+    ``recordings`` has one row per key. Noise and interference come from the other recordings, which are the pool: each event
+    draws the number of one, and an equi-join on that number brings its samples. Null, empty and silent recordings are no
+    part of the pool; empty ones stay as they are and null ones are left out. Events per recording are few, so they are
+    gathered again by key.
+    """
+    programs = programs or tuple(PROGRAMS)
+    base = recordings.where(F.col(audio).isNotNull()).select(key, F.col(audio).alias("x"), (F.size(audio) / rate).alias("_t"))
+    sounds = base.where(F.exists("x", lambda v: v != 0)).withColumn("_g", F.lit(0))
+    pool = ranked(sounds.select("_g", key, "x"), ["_g"], [key], "_n", "pool").select((F.col("_n") - 1).alias("_no"), F.col("x").alias("source"))
+    size = pool.count()
+    parts = []
+    for i, name in enumerate(programs):
+        s = seed * 100 + i
+        events = PROGRAMS[name](F.col(key), F.col("_t"), s)
+        room_no = F.floor(draw(s, F.col(key), "room") * ROOMS).cast("int") if name in IN_A_ROOM else F.lit(None).cast("int")
+        parts.append(base.select(key, F.lit(name).alias("program"), F.lit(s).alias("_s"), "x", "_t", events.alias("events"), room_no.alias("room")))
+    df = reduce(lambda a, b: a.unionByName(b), parts)
+    e = df.select(key, "program", "_s", "_t", F.posexplode("events").alias("i", "e"))
+    drawn = e.withColumn("_no", F.when(F.col("e.type").isin(*ADDED) & F.lit(size > 0), F.floor(draw(F.col("_s"), F.col(key), "pool", F.col("i")) * size)))
+    packets = F.transform(L.span(F.lit(0), F.when(F.col("e.type") == "packet_loss", F.ceil((F.col("e.end") - F.col("e.start")) * rate / packet) + 1).otherwise(0).cast("int")), lambda p: draw(F.col("_s"), F.col(key), F.col("i"), p) < p_lost)
+    got = drawn.join(pool, "_no", "left").groupBy(key, "program").agg(F.collect_list(F.struct("i", "source", packets.alias("lost"))).alias("parts"))
+    joined = df.join(got, [key, "program"], "left")
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for xs, evs, rooms, ps in batches:
+            out = []
+            for x, ev, r, p in zip(xs, evs, rooms, ps, strict=True):
+                p = [] if p is None else list(p)
+                sources = {int(q["i"]): q["source"] for q in p if q["source"] is not None}
+                out.append(apply_events(x, list(ev), sources, rate, None if r is None or r != r else int(r), {int(q["i"]): q["lost"] for q in p}, packet=packet))
+            yield pd.Series(out, dtype=object)
+
+    frames = L.frame_count(F.size("x"), rate)
+    return joined.select(key, "program", "events", "room", frames.alias("num_frames"), L.paint(F.col("events"), frames).alias("labels"), run("x", "events", "room", "parts").alias("y"))

@@ -44,17 +44,22 @@ def ids_in_lines(lines: DataFrame, line: str, ids: DataFrame, id_column: str) ->
 
 def assign_resource(df: DataFrame, key: str, resources: list[str], seed: int = 0, k: int = 0, name: str = "resource") -> DataFrame:
     """A resource for each row, drawn by a hash of its key: the same whatever the partitions, and after a retry."""
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(k)), F.lit(len(resources)))
+    at = F.floor(uniform(F.col(key), seed, k) * len(resources))
     return df.withColumn(name, F.get(F.array(*[F.lit(r) for r in resources]), at.cast("int")))
 
 
+def draw(*parts: Column | int | str) -> Column:
+    """A number in [0, 1) from the MD5 of the parts between colons: the same in any engine, on any partition and after a retry."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def uniform(key: Column, seed: int, k: int = 0) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), key, F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
+    return draw(seed, key, k)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.orderBy(draw(seed, F.col(key)), key)
 
 
 def fixed_shards(df: DataFrame, key: str, per_file: int = 1000, prefix: str = "part") -> DataFrame:

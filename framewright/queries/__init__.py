@@ -1,3 +1,3 @@
 """Queries of the core."""
 
-from framewright.queries import align, data_problems, evaluation, frames, joins, metrics, text  # noqa: F401
+from framewright.queries import align, data_problems, evaluation, frames, joins, metrics, simulation, text  # noqa: F401

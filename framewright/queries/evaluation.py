@@ -124,30 +124,6 @@ def word_evaluation(spark, d):
     return M.binary_scores(sums.select(parts.alias("x")).select("x.*")).drop("fpr", "tn")
 
 
-# --- Simulation: segments with a duration ---
-
-
-def timed(spark, d):
-    s = segments(spark, d).where("start_sec >= 0 AND end_sec > start_sec AND NOT isnan(end_sec) AND end_sec - start_sec < 1000")
-    return s.select("segment_id", (F.col("end_sec") - F.col("start_sec")).alias("seconds"), "start_sec", "end_sec").dropDuplicates(["segment_id"])
-
-
-def register_program(i: int, name: str) -> None:
-    @query(f"GEN{i:02d}_{name}")
-    def run(spark, d):
-        return S.simulate(timed(spark, d), (name,), 1)
-
-
-for _i, _name in enumerate(("clean", "noise", "rir", "rir_noise", "interference", "noise_partial", "packet_loss", "missing", "multi_dist_rir", "multi_dist_no_rir"), 1):
-    register_program(_i, _name)
-
-
-@query("GEN11_all_programs")
-def all_programs(spark, d):
-    every = S.simulate(timed(spark, d), seed=1)
-    return every.select("program", F.explode("labels").alias("label")).groupBy("program", "label").agg(F.count("*").alias("frames"))
-
-
 AUDIO = "(SELECT DISTINCT archive_id, list_transform(audio, lambda x: x::DOUBLE) AS x FROM encoder_archive WHERE len(audio) > 0)"
 RMS = lambda c: f"sqrt(list_sum(list_transform({c}, lambda v: v * v)) / len({c}) + 1e-12)"
 
@@ -163,12 +139,6 @@ def snr_scale(spark, d):
     return audio(spark, d).select("archive_id", F.round(S.snr_scale(F.col("x"), n, 10.0), 4).alias("scale"))
 
 
-@query("DSP02_snr_draws")
-def snr_draws(spark, d):
-    k = F.col("segment_id")
-    return timed(spark, d).select("segment_id", S.draw_snr(k, -5, 20, 1).alias("uniform"), S.draw_snr(k, -5, 20, 1, 1, True).alias("triangular"))
-
-
 @query("DSP03_fade", f"""SELECT archive_id, round(list_sum(list_transform(range(0, len(x)), lambda i: x[i + 1] * (CASE WHEN i < n THEN i::DOUBLE / (n - 1) ELSE 1 END) * (CASE WHEN i >= len(x) - n THEN (len(x) - 1 - i)::DOUBLE / (n - 1) ELSE 1 END))), 4) AS total
   FROM (SELECT *, least(80, len(x) // 2) AS n FROM {AUDIO})""")
 def fade(spark, d):
@@ -189,21 +159,6 @@ def noise_mix(spark, d):
     return audio(spark, d).select("archive_id", F.size(y).alias("n"))
 
 
-@query("DSP06_resource_mix")
-def resource_mix(spark, d):
-    """A resource drawn by hash, mixed at a drawn level, and its event."""
-    a = J.assign_resource(audio(spark, d), "archive_id", ["pink", "brown", "white"], 3, 0, "kind")
-    snr = S.draw_snr(F.col("archive_id"), -5, 20, 3)
-    y = S.signal(lambda x, k, kind, level: S.mix_noise(x, S.synthetic_noise(len(x), kind, k), level), F.col("x"), F.col("archive_id"), F.col("kind"), snr)
-    return a.select("archive_id", "kind", F.size(y).alias("n"), S.event("noise", F.lit(0.0), F.size("x") / S.RATE, snr).alias("event"))
-
-
-@query("DSP08_packet_loss_event")
-def packet_loss_event(spark, d):
-    """The event only: the codec is outside."""
-    return timed(spark, d).select("segment_id", F.explode(S.placed(F.col("segment_id"), F.col("seconds"), 0.2, 1.0, 1, "packet_loss", 8)).alias("e")).select("segment_id", "e.*")
-
-
 @query("DSP09_zero_segment", f"SELECT archive_id, len(list_filter(list_transform(range(0, len(x)), lambda i: CASE WHEN i >= 16 AND i < 48 THEN 0 ELSE x[i + 1] END), lambda v: v = 0)) + CASE WHEN x[16] <> 0 THEN 1 ELSE 0 END + CASE WHEN x[49] <> 0 THEN 1 ELSE 0 END AS zeros FROM {AUDIO} WHERE len(x) > 160")
 def zero_segment(spark, d):
     y = S.zero_segment(F.col("x"), F.lit(0.001), F.lit(0.003))
@@ -217,12 +172,6 @@ def zero_segment_all(spark, d):
     return audio(spark, d).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).cast("long").alias("zeros"))
 
 
-@query("DSP10_word_augmentation")
-def word_augmentation(spark, d):
-    w = with_offsets(spark, d)
-    return w.select("recog_id", F.explode(S.word_augmentation(F.col("words"), F.col("recog_id"), seed=10)).alias("e")).select("recog_id", "e.*")
-
-
 @query("DSP11_synthetic_noise")
 def synthetic_noise(spark, d):
     y = S.signal(lambda n, k: S.synthetic_noise(n, "pink", k), F.size("x"), F.col("archive_id"))
@@ -241,45 +190,6 @@ def power_mix(spark, d):
     return audio(spark, d).select("archive_id", F.size(y).alias("n"))
 
 
-@query("DSP14_packet_drops")
-def packet_drops(spark, d):
-    y = S.drop_packets(F.transform("x", lambda v: v.cast("float")), F.col("archive_id"), 0.3, 32, 14)
-    return audio(spark, d).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).alias("zeros"))
-
-
-@query("DSP15_missing_blocks")
-def missing_blocks(spark, d):
-    y = S.drop_packets(F.transform("x", lambda v: v.cast("float")), F.col("archive_id"), 0.1, 80, 15)
-    return audio(spark, d).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).alias("zeros"))
-
-
-@query("DSP16_integrated")
-def integrated(spark, d):
-    """Words' draws become events, and events frame labels."""
-    w = with_offsets(spark, d)
-    e = S.word_augmentation(F.col("words"), F.col("recog_id"), seed=16)
-    code = lambda x: F.when(x["type"] == "missing", 5).when(x["type"] == "packet_loss", 4).when(x["type"] == "interference", 3).otherwise(1)
-    ev = F.transform(e, lambda x: F.struct(code(x).alias("label"), x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
-    n = F.coalesce(F.array_max(F.transform("words", lambda x: x["end"])), F.lit(0))
-    return w.select("recog_id", L.paint(ev, n, 1.0).alias("labels"))
-
-
-@query("DSP17_placement")
-def placement(spark, d):
-    return timed(spark, d).select("segment_id", F.explode(S.placed(F.col("segment_id"), F.col("seconds"), 0.1, 0.5, 3, "missing", 17)).alias("e")).select("segment_id", "e.*")
-
-
-@query("DSP18_packing")
-def packing(spark, d):
-    kinds = F.array(*[F.lit(x) for x in ("noise", "interference", "missing")])
-    return timed(spark, d).select("segment_id", F.explode(S.packed_events(F.col("segment_id"), F.col("seconds"), kinds, 18)).alias("e")).select("segment_id", "e.*")
-
-
-@query("DSP19_distortion_sets")
-def distortion_sets(spark, d):
-    return timed(spark, d).select("segment_id", S.chosen_set(F.col("segment_id"), ("noise", "interference", "packet_loss", "missing"), 2, 4, 19).alias("kinds"))
-
-
 @query("DSP20_resample")
 def resample(spark, d):
     return audio(spark, d).select("archive_id", F.size(S.signal(lambda x: S.resample(x, 16000, 8000), F.col("x"))).alias("n"))

@@ -169,11 +169,6 @@ def last_wins(spark, d):
     return J.last_wins(r, "rec_id", [F.col("added_at"), F.coalesce("audio_path", F.lit(""))])
 
 
-@query("JON17_random_resource")
-def random_resource(spark, d):
-    return J.assign_resource(segments(spark, d).select("segment_id").distinct(), "segment_id", [f"noise_{k:03d}" for k in range(50)], 7)
-
-
 @query("ORD01_sorted_ids", "SELECT DISTINCT utt_id FROM transcription WHERE utt_id IS NOT NULL ORDER BY utt_id")
 def sorted_ids(spark, d):
     return table(spark, d, "transcription").where("utt_id IS NOT NULL").select("utt_id").distinct().orderBy("utt_id")
@@ -187,11 +182,6 @@ def indexed(spark, d):
     return ranked(docs, ["g"], ["doc_id"], "r", "index").select("doc_id", (F.col("r") - 1).alias("idx"))
 
 
-@query("ORD04_seeded_shuffle")
-def seeded_shuffle(spark, d):
-    return J.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id")
-
-
 @query("SET01_intersection", "SELECT utt_id FROM transcription WHERE utt_id IS NOT NULL INTERSECT SELECT utt_id FROM recog")
 def set_intersection(spark, d):
     return table(spark, d, "transcription").where("utt_id IS NOT NULL").select("utt_id").intersect(table(spark, d, "recog").select("utt_id"))

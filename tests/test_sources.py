@@ -104,9 +104,8 @@ def test_signals():
     assert len(S.resample(x, 16000, 8000)) == 200 and len(S.resample(x[:0], 2, 1)) == 0
     low = np.sin(2 * np.pi * np.arange(400) * 4 / 400)
     assert np.allclose(S.resample(low, 2, 1), low[::2], atol=1e-6)
-    packed = S.pack(10.0, [("a", 2.0), ("b", 5.0), ("c", 1.0)], S.rng_of(1))
-    assert packed == sorted(packed, key=lambda p: p[1]) and all(b - a <= 3.0 + 1e-9 for _, a, b in packed)
-    assert all(p[2] + 0.1 <= q[1] + 1e-9 for p, q in zip(packed, packed[1:], strict=False))
+    up = S.resample(np.cos(np.pi * np.arange(8)), 1, 2)  # the highest frequency of an even length is shared out
+    assert np.allclose(up[::2], np.cos(np.pi * np.arange(8))) and np.allclose(up[1::2], 0)
     for kind in ("white", "pink", "brown"):
         assert np.isclose(S._rms(S.synthetic_noise(500, kind, "k")), 1, atol=1e-3)
 
@@ -117,6 +116,33 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a == b and len(a) == 40
 
 
+def test_packed_events_never_meet(spark):
+    df = spark.range(60).selectExpr("cast(id AS string) AS k", "cast(0.05 + id * 0.7 AS double) AS t")
+    kinds = F.array(*[F.lit(x) for x in ("noise", "missing", "packet_loss")])
+    n = 0
+    for r in df.select("t", S.packed_events(F.col("k"), F.col("t"), kinds, 5).alias("e")).collect():
+        e, n = r.e, n + len(r.e)
+        assert e == sorted(e, key=lambda x: x.start) and all(0 <= x.start and x.end <= r.t + 1e-9 and x.end - x.start <= 0.3 * r.t + 1e-9 for x in e)
+        assert all(x.end + 0.1 <= y.start + 1e-9 for x, y in zip(e, e[1:], strict=False))
+    assert n > 100
+
+
+def test_audio_of_the_programs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=400).tolist()) for k in range(6)] + [(6, []), (7, None), (8, [0.0] * 50)]
+    df = spark.createDataFrame(rows, "archive_id long, x array<double>")
+    got = {(r.archive_id, r.program): r for r in S.simulate_audio(df, seed=2).collect()}
+    assert len(got) == 8 * len(S.PROGRAMS) and all(len(r.y) == len(rows[k][1]) for (k, _), r in got.items())
+    assert np.allclose(got[0, "clean"].y, rows[0][1])
+    e = got[0, "noise"].events[0]
+    x = np.array(rows[0][1])
+    added = np.array(got[0, "noise"].y) * max(1, 1) - x
+    assert np.abs(added).max() > 0 and e.type == "noise"
+    for e in got[1, "missing"].events:
+        assert not any(got[1, "missing"].y[int(e.start * 16000) : int(e.end * 16000)])
+    assert S.simulate_audio(df.where("false"), ("noise",)).count() == 0
+
+
 def test_silence_and_fades(one):
     x = F.array_repeat(F.lit(1.0), 400)
     y = one(S.zero_segment(x, F.lit(0.01), F.lit(0.015)))
