@@ -170,6 +170,12 @@ def convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.clip(y * (_rms(x) / level) if level > 0 else y, -1, 1)
 
 
+def reverb(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The middle of the convolution, as long as the longer of both."""
+    x, h = np.asarray(x, float), np.asarray(h, float)
+    return np.convolve(x, h, "same") if len(x) and len(h) else x
+
+
 def mix_noise(x: np.ndarray, noise: np.ndarray, snr_db: float, onset: int = 0) -> np.ndarray:
     """Add noise from ``onset``, repeated if too short, at the given level below the signal; divided by the peak if that is over 1."""
     x, noise = np.asarray(x, float), np.asarray(noise, float)

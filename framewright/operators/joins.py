@@ -71,6 +71,26 @@ def fixed_shards(df: DataFrame, key: str, per_file: int = 1000, prefix: str = "p
     return rank.withColumns({"shard": shard, "file_name": F.format_string(prefix + "_%05d.parquet", shard)}).drop("_r")
 
 
+def rank_shards(df: DataFrame, key: str, world: int) -> DataFrame:
+    """rank, place: row r of the order by key goes to rank r mod ``world``, as its row r div ``world``."""
+    from framewright.plans.scan import ranked
+
+    r = ranked(df.withColumn("_one", F.lit(0)), ["_one"], [key], "_r", "ranks").drop("_one")
+    return r.withColumns({"rank": F.pmod(F.col("_r") - 1, F.lit(world)), "place": F.floor((F.col("_r") - 1) / world)}).drop("_r")
+
+
+def padded_batches(df: DataFrame, key: str, values: str, size: int, fill: int) -> DataFrame:
+    """batch, padded, mask: ``size`` rows of like length a batch, in the order of length and key, each filled up to its batch's longest."""
+    from framewright.plans.scan import ranked
+
+    r = ranked(df.withColumns({"_one": F.lit(0), "_len": F.size(values)}), ["_one"], ["_len", key], "_r", "batches")
+    r = r.withColumn("batch", F.floor((F.col("_r") - 1) / size)).drop("_one", "_r")
+    widest = F.max("_len").over(Window.partitionBy("batch"))  # a batch has ``size`` rows
+    more = F.col("_w") - F.col("_len")
+    out = r.withColumn("_w", widest).withColumns({"padded": F.concat(values, F.array_repeat(F.lit(fill), more)), "mask": F.concat(F.array_repeat(F.lit(1), F.col("_len")), F.array_repeat(F.lit(0), more))})
+    return out.drop("_w", "_len")
+
+
 def islands(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Runs of consecutive positions per key: first, last, length. For keys of bounded size."""
     w = Window.partitionBy(*keys).orderBy(position)

@@ -18,6 +18,7 @@ from framewright.operators import tokens as K
 from framewright.plans.tables import staged_path, table
 from framewright.queries import text as Q
 from framewright.queries.align import EQUALITY, LABELS, d_ops, d_paths, pairs
+from framewright.queries.metrics import JUDGED
 from framewright.queries.joins import D_BEST, D_OFFSETS, segments, with_offsets
 from framewright.sources import readers as R
 from framewright.sources import writers as W
@@ -146,28 +147,35 @@ def fade(spark, d):
     return audio(spark, d).select("archive_id", F.round(F.aggregate(y, F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
-@query("DSP04_rir_convolution")
-def rir_convolution(spark, d):
-    a = audio(spark, d)
-    y = S.signal(lambda x, k: S.convolve(x, S.synthetic_room(0.005, k)), F.col("x"), F.col("archive_id"))
-    return a.select("archive_id", F.round(L.rms(F.transform(y, lambda v: v.cast("double"))), 4).alias("rms"))
+def d_room(number: int, taps: int = 32) -> str:
+    h = S.room(number, taps)
+    return "[" + ", ".join(f"{v!r}::DOUBLE" for v in h.tolist()) + "]"
 
 
-@query("DSP05_noise_mix")
-def noise_mix(spark, d):
-    y = S.signal(lambda x, k: S.mix_noise(x, S.synthetic_noise(len(x), "white", k), 10.0), F.col("x"), F.col("archive_id"))
-    return audio(spark, d).select("archive_id", F.size(y).alias("n"))
+def d_convolved(number: int, shift: int = 0) -> str:
+    """Samples shift.. of the full convolution of x with a room, as many as x has."""
+    return f"list_transform(range({shift}, len(x) + {shift}), lambda i: list_sum(list_transform(range(greatest(0, i - len(x) + 1), least(i + 1, 32)), lambda k: x[i - k + 1] * h[k + 1])))"
 
 
-@query("DSP09_zero_segment", f"SELECT archive_id, len(list_filter(list_transform(range(0, len(x)), lambda i: CASE WHEN i >= 16 AND i < 48 THEN 0 ELSE x[i + 1] END), lambda v: v = 0)) + CASE WHEN x[16] <> 0 THEN 1 ELSE 0 END + CASE WHEN x[49] <> 0 THEN 1 ELSE 0 END AS zeros FROM {AUDIO} WHERE len(x) > 160")
-def zero_segment(spark, d):
-    y = S.zero_segment(F.col("x"), F.lit(0.001), F.lit(0.003))
-    return audio(spark, d).where(F.size("x") > 160).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).cast("long").alias("zeros"))
+@query("DSP04_rir_convolution", f"""SELECT archive_id, round({RMS('z')}, 4) AS rms, round(list_max(list_transform(z, lambda v: abs(v))), 4) AS peak FROM (SELECT archive_id, list_transform(y, lambda v: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v * ({RMS('x')} / {RMS('y')})))) AS z
+  FROM (SELECT *, {d_convolved(3)} AS y FROM (SELECT *, {d_room(3)} AS h FROM {AUDIO})))""")
+def rir_convolution(spark, d):
+    y = F.transform(S.signal(lambda x: S.convolve(x, S.room(3)), F.col("x")), lambda v: v.cast("double"))
+    return audio(spark, d).select("archive_id", y.alias("y")).select("archive_id", F.round(L.rms(F.col("y")), 4).alias("rms"), F.round(L.peak(F.col("y")), 4).alias("peak"))
+
+
+@query("DSP05_noise_mix", f"""SELECT archive_id, round({RMS('y')} / greatest(1.0::DOUBLE, list_max(list_transform(y, lambda v: abs(v)))), 4) AS rms, round(list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * x[i])) / greatest(1.0::DOUBLE, list_max(list_transform(y, lambda v: abs(v)))), 3) AS dot
+  FROM (SELECT archive_id, x, list_transform(range(1, len(x) + 1), lambda i: x[i] + r[i] * ({RMS('x')} / pow(10, 0.5::DOUBLE) / {RMS('r')})) AS y FROM (SELECT *, list_reverse(x) AS r FROM {AUDIO}))""")
+def noise_mix(spark, d):
+    y = F.transform(S.signal(lambda x: S.mix_noise(x, x[::-1], 10.0), F.col("x")), lambda v: v.cast("double"))
+    mixed = audio(spark, d).select("archive_id", "x", y.alias("y"))
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return mixed.select("archive_id", F.round(L.rms(F.col("y")), 4).alias("rms"), F.round(dot, 3).alias("dot"))
 
 
-@query("DSP09_zero_segment_all", f"SELECT archive_id, len(list_filter(list_transform(range(0, len(x)), lambda i: CASE WHEN i >= 16 AND i < 48 THEN 0 ELSE x[i + 1] END), lambda v: v = 0)) + CASE WHEN x[16] <> 0 THEN 1 ELSE 0 END + CASE WHEN x[49] <> 0 THEN 1 ELSE 0 END AS zeros FROM {AUDIO}")
+@query("DSP09_zero_segment", f"SELECT archive_id, len(list_filter(list_transform(range(0, len(x)), lambda i: CASE WHEN i >= 16 AND i < 48 THEN 0 ELSE x[i + 1] END), lambda v: v = 0)) + CASE WHEN x[16] <> 0 THEN 1 ELSE 0 END + CASE WHEN x[49] <> 0 THEN 1 ELSE 0 END AS zeros FROM {AUDIO}")
 def zero_segment_all(spark, d):
-    """Recordings of any length; DSP09_zero_segment leaves out those of 160 samples or fewer, as its SQL does."""
+    """Recordings of any length: ramps and interval are clamped to it."""
     y = S.zero_segment(F.col("x"), F.lit(0.001), F.lit(0.003))
     return audio(spark, d).select("archive_id", F.size(F.filter(y, lambda v: v == 0)).cast("long").alias("zeros"))
 
@@ -178,28 +186,31 @@ def synthetic_noise(spark, d):
     return audio(spark, d).select("archive_id", F.round(L.rms(F.transform(y, lambda v: v.cast("double"))), 4).alias("rms"))
 
 
-@query("DSP12_synthetic_room")
+@query("DSP12_synthetic_room", f"SELECT archive_id, round({RMS('y')}, 4) AS rms, round(y[1], 4) AS first FROM (SELECT archive_id, {d_convolved(2, 15)} AS y FROM (SELECT *, {d_room(2)} AS h FROM {AUDIO} WHERE len(x) >= 32))")
 def synthetic_room(spark, d):
-    y = S.signal(lambda k: S.synthetic_room(0.01, k), F.col("archive_id"))
-    return audio(spark, d).select("archive_id", F.size(y).alias("n"))
+    """Reverberation cut around the middle, for audio at least as long as the room's response."""
+    y = F.transform(S.signal(lambda x: S.reverb(x, S.room(2)), F.col("x")), lambda v: v.cast("double"))
+    return audio(spark, d).where(F.size("x") >= 32).select("archive_id", y.alias("y")).select("archive_id", F.round(L.rms(F.col("y")), 4).alias("rms"), F.round(F.get("y", F.lit(0)), 4).alias("first"))
 
 
-@query("DSP13_power_mix")
+@query("DSP13_power_mix", f"""SELECT archive_id, round({RMS('y')}, 4) AS rms FROM (SELECT archive_id, CASE WHEN p > 0 THEN list_transform(range(1, len(x) + 1), lambda i: x[i] + x[len(x) + 1 - i] * sqrt(p / (p * pow(10, 0.5::DOUBLE)))) ELSE x END AS y
+  FROM (SELECT *, list_sum(list_transform(x, lambda v: v * v)) / len(x) AS p FROM {AUDIO}))""")
 def power_mix(spark, d):
-    y = S.signal(lambda x: S.mix_by_power(x, x[::-1], 5.0), F.col("x"))
-    return audio(spark, d).select("archive_id", F.size(y).alias("n"))
+    y = F.transform(S.signal(lambda x: S.mix_by_power(x, x[::-1], 5.0), F.col("x")), lambda v: v.cast("double"))
+    return audio(spark, d).select("archive_id", F.round(L.rms(y), 4).alias("rms"))
 
 
 @query("DSP20_resample")
 def resample(spark, d):
-    return audio(spark, d).select("archive_id", F.size(S.signal(lambda x: S.resample(x, 16000, 8000), F.col("x"))).alias("n"))
+    y = F.transform(S.signal(lambda x: S.resample(x, 16000, 8000), F.col("x")), lambda v: v.cast("double"))
+    return audio(spark, d).select("archive_id", y.alias("y")).select("archive_id", F.size("y").alias("n"), F.round(L.rms(F.col("y")), 4).alias("rms"))
 
 
 # --- Dialogue: the documents that carry marks of uncertainty ---
 
 
 def open_texts(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND source = 'asr_hypothesis'")
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.col("text").rlike("</?(unknown|unclear)>|<del>|<FINAL>")))
     return docs.select(F.col("doc_id").cast("string").alias("utt_id"), "text")
 
 
@@ -221,32 +232,43 @@ def shown_context(spark, d):
     return r.select("utt_id", D.context(F.col("r"), F.col("q"), F.col("q")).alias("shown"))
 
 
-@query("ITR07_judge")
+@query("ITR07_judge", f"SELECT 'scale' AS form, count(*) AS n, round(avg(score) * 20, 6) AS score, round(avg(ok), 6) AS success FROM {JUDGED} UNION ALL SELECT 'binary', count(*), round(avg(score) * 100, 6), round(avg(ok), 6) FROM {JUDGED}")
 def judged(spark, d):
-    return D.judge(table(spark, d, "documents").where("source = 'judge_reply'"), "text")
+    replies = table(spark, d, "documents").where("source = 'judge_reply'")
+    form = lambda n, b: D.judge(replies, "text", b).withColumn("form", F.lit(n))
+    return form("scale", False).unionByName(form("binary", True))
 
 
-@query("JON10_utterance_context")
+@query("JON10_utterance_context", """SELECT u.utt_id, u.recog_id, CASE WHEN q IS NOT NULL AND a IS NOT NULL THEN 'Round 1:' || chr(10) || 'question: ' || q || chr(10) || 'answer: ' || a ELSE 'None' END AS shown
+  FROM (SELECT DISTINCT utt_id, recog_id FROM recog WHERE utt_id IS NOT NULL) u LEFT JOIN (SELECT utt_id, min(text) AS q, max(lang) AS a FROM transcription WHERE utt_id IS NOT NULL GROUP BY utt_id) t ON u.utt_id = t.utt_id""")
 def utterance_context(spark, d):
-    u = open_texts(spark, d).withColumn("k", (F.col("utt_id").cast("long") % 2).cast("string"))
-    qa = u.where("k = '0'").select("utt_id", F.md5("text").alias("q"))
-    return u.join(qa, "utt_id", "left").select("utt_id", D.context(F.lit(2), F.col("q"), F.col("q")).alias("shown"))
+    """Every recognised utterance with what is known of it (here its transcription and language), if anything is."""
+    u = table(spark, d, "recog").where("utt_id IS NOT NULL").select("utt_id", "recog_id").distinct()
+    qa = table(spark, d, "transcription").where("utt_id IS NOT NULL").groupBy("utt_id").agg(F.min("text").alias("q"), F.max("lang").alias("a"))
+    return J.inner_all([u], "utt_id", [qa]).select("utt_id", "recog_id", D.context(F.lit(2), F.col("q"), F.col("a")).alias("shown"))
+
+
+TRIPLE = "(SELECT utt_id, arg_min(text, recog_id) AS first, arg_max(text, recog_id) AS last FROM recog WHERE utt_id IS NOT NULL AND text IS NOT NULL GROUP BY utt_id)"
 
 
-@query("JON11_judge_triple", "SELECT a.utt_id, a.recog_id AS x, b.recog_id AS y FROM recog a JOIN recog b ON a.utt_id = b.utt_id AND a.recog_id < b.recog_id JOIN (SELECT DISTINCT utt_id FROM transcription) t ON t.utt_id = a.utt_id GROUP BY ALL")
+@query("JON11_judge_triple", f"SELECT r.utt_id, r.reference, h.first AS question, h.last AS prediction FROM (SELECT utt_id, max(text) AS reference FROM transcription WHERE utt_id IS NOT NULL AND text IS NOT NULL GROUP BY utt_id) r JOIN {TRIPLE} h ON r.utt_id = h.utt_id")
 def judge_triple(spark, d):
-    h = table(spark, d, "recog").where("utt_id IS NOT NULL").select("utt_id", "recog_id").distinct()
-    two = h.withColumnRenamed("recog_id", "x").join(h.withColumnRenamed("recog_id", "y"), "utt_id").where("x < y")
-    return two.join(table(spark, d, "transcription").select("utt_id").distinct(), "utt_id", "left_semi")
+    """Reference, question and prediction of an utterance: one row a side, so no pairs within it."""
+    r = table(spark, d, "transcription").where("utt_id IS NOT NULL AND text IS NOT NULL").groupBy("utt_id").agg(F.max("text").alias("reference"))
+    h = table(spark, d, "recog").where("utt_id IS NOT NULL AND text IS NOT NULL").groupBy("utt_id").agg(F.min_by("text", "recog_id").alias("question"), F.max_by("text", "recog_id").alias("prediction"))
+    return J.inner_all([r, h], "utt_id")
 
 
-@query("TXT22_request", """SELECT doc_id, json_extract_string(line, '$.custom_id') AS id, json_extract_string(json_extract_string(line, '$.body.input[1].content'), '$.asr') AS asr FROM (
+@query("TXT22_request", """SELECT doc_id, json_extract_string(line, '$.custom_id') AS id, json_extract_string(json_extract_string(line, '$.body.input[1].content'), '$.asr') AS asr, 'POST /v1/responses model None system user' AS rest FROM (
   SELECT doc_id, json_object('custom_id', doc_id::VARCHAR, 'body', json_object('input', json_array(json_object('content', ''), json_object('content', json_object('asr', text)::VARCHAR)))) AS line FROM documents WHERE text IS NOT NULL)""")
 def request(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     line = D.request(F.col("doc_id").cast("string"), F.col("text"), F.lit("None"))
     back = docs.select("doc_id", line.alias("line"))
-    return back.select("doc_id", F.get_json_object("line", "$.custom_id").alias("id"), F.get_json_object(F.get_json_object("line", "$.body.input[1].content"), "$.asr").alias("asr"))
+    at = lambda p: F.get_json_object("line", p)
+    inner = at("$.body.input[1].content")
+    rest = F.concat_ws(" ", at("$.method"), at("$.url"), at("$.body.model"), F.get_json_object(inner, "$.context"), at("$.body.input[0].role"), at("$.body.input[1].role"))
+    return back.select("doc_id", at("$.custom_id").alias("id"), F.get_json_object(inner, "$.asr").alias("asr"), rest.alias("rest"))
 
 
 def _responses(spark, d):
@@ -276,9 +298,21 @@ register_reply("TXT25_reply_typed", True)
 W10 = [[((3 * i + 5 * j) % 7 - 3) / 7.0 for j in range(64)] for i in range(10)]
 
 
-@query("MDL02_linear_head", "SELECT vec_id, round(list_sum(list_transform(range(0, 64), lambda j: greatest(embedding[j + 1]::DOUBLE, 0) * ((5 * j) % 7 - 3) / 7.0::DOUBLE)), 4) AS first_logit FROM embeddings")
+def weights(head: int) -> list[list[float]]:
+    return [[((3 * i + 5 * j + head) % 7 - 3) / 7.0 for j in range(64)] for i in range(10)]
+
+
+def d_logits(head: int = 0) -> str:
+    return f"list_transform(range(0, 10), lambda i: round(list_sum(list_transform(range(0, 64), lambda j: greatest(embedding[j + 1]::DOUBLE, 0) * ((3 * i + 5 * j + {head}) % 7 - 3) / 7.0::DOUBLE)), 4) + 0.0::DOUBLE)"
+
+
+def logits(head: int = 0):
+    return F.transform(H.linear(F.col("embedding"), weights(head), [0.0] * 10), lambda v: F.round(v, 4) + F.lit(0.0))
+
+
+@query("MDL02_linear_head", f"SELECT vec_id, {d_logits()} AS logits FROM embeddings")
 def linear_head(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(H.linear(F.col("embedding"), W10[:1], [0.0]), F.lit(0)), 4).alias("first_logit"))
+    return table(spark, d, "embeddings").select("vec_id", logits().alias("logits"))
 
 
 def utterance_frames(spark, d):
@@ -299,15 +333,17 @@ def cnn_head(spark, d):
     return utterance_frames(spark, d).select("utt", H.predict(F.col("frames"), H.cnn, [(kernel, one * 0, one * 0, one, one, one * 0)], np.array(W10)[:, :8], np.zeros(10)).alias("classes"))
 
 
-@query("MDL07_cross_entropy", "SELECT vec_id, round(ln(list_sum(list_transform(e, lambda v: exp(v)))) - e[label + 1], 4) AS loss FROM (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS e FROM embeddings)")
+@query("MDL07_cross_entropy", "SELECT vec_id, round(ln(list_sum(list_transform(e, lambda v: exp(v)))) - e[label + 1], 4) AS loss FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings)")
 def cross_entropy(spark, d):
-    e = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    e = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, d, "embeddings").select("vec_id", F.round(H.cross_entropy(e, F.col("label")), 4).alias("loss"))
 
 
-@query("MDL10_four_heads", "SELECT file_id, count(DISTINCT model_name) AS heads FROM predictions WHERE file_id IS NOT NULL GROUP BY file_id")
+@query("MDL10_four_heads", "SELECT vec_id, " + ", ".join(f"list_position(l{h}, list_max(l{h}))::INT - 1 AS head_{h}" for h in range(4)) + f" FROM (SELECT vec_id, {', '.join(f'{d_logits(h)} AS l{h}' for h in range(4))} FROM embeddings)")
 def four_heads(spark, d):
-    return table(spark, d, "predictions").where("file_id IS NOT NULL").groupBy("file_id").agg(F.count_distinct("model_name").alias("heads"))
+    """Four heads, each with its own weights, over the same frames in one pass: the class each of them gives."""
+    out = table(spark, d, "embeddings").select("vec_id", *[logits(h).alias(f"l{h}") for h in range(4)])
+    return out.select("vec_id", *[L.arg_max(F.col(f"l{h}")).alias(f"head_{h}") for h in range(4)])
 
 
 # --- Files: tables are written in the other formats and read again ---
@@ -375,24 +411,40 @@ register_transcription("SRC10_strings_drop", f"SELECT utt_id, t AS text FROM {UT
 register_transcription("SRC11_single_space", f"SELECT utt_id, t AS text FROM {UTT}", form="string", separator="space")
 
 
-@query("SRC15_confidence_json", "SELECT pred_id::VARCHAR AS utt_id, len(predictions) AS n FROM predictions WHERE predictions IS NOT NULL GROUP BY ALL")
-def src_confidence(spark, d):
-    p = table(spark, d, "predictions").where("predictions IS NOT NULL").select(F.col("pred_id").cast("string").alias("utt_id"), F.transform("predictions", lambda x: (x * 0.25).cast("float")).alias("c")).distinct()
-    W.confidence_json(p, "utt_id", "c").select("value").write.text(path := staged_path(spark, "confidence"))
-    return R.confidences(spark, path).select("utt_id", F.size("word_confidence").cast("long").alias("n"))
+CONFIDENCES = "SELECT DISTINCT pred_id::VARCHAR AS utt_id, list_transform(predictions, lambda x: round(x * 0.25::DOUBLE, 4)) AS confidences FROM predictions WHERE predictions IS NOT NULL"
+
+
+def confidence_rows(spark, d):
+    p = table(spark, d, "predictions").where("predictions IS NOT NULL")
+    return p.select(F.col("pred_id").cast("string").alias("utt_id"), F.transform("predictions", lambda x: (x * 0.25).cast("float")).alias("c")).distinct()
+
 
+def register_confidences(name: str) -> None:
+    @query(name, CONFIDENCES)
+    def run(spark, d):
+        """Written as objects of at most 1000 utterances each, and read again."""
+        W.confidence_json(confidence_rows(spark, d), "utt_id", "c").select("value").write.text(path := staged_path(spark, "confidence"))
+        return R.confidences(spark, path).select("utt_id", F.transform("word_confidence", lambda v: F.round(v.cast("double"), 4)).alias("confidences"))
+
+
+register_confidences("SRC15_confidence_json")
+register_confidences("SNK08_confidence_object")
 
-@query("SRC16_prediction_lines", "SELECT file_id, max(num_frames) AS num_frames FROM predictions WHERE file_id IS NOT NULL AND model_name = 'deletion' AND predictions IS NOT NULL GROUP BY file_id")
+
+@query("SRC16_prediction_lines", """SELECT file_id, x.num_frames AS num_frames, x.predictions AS predictions FROM (SELECT file_id, max({'num_frames': num_frames, 'predictions': predictions}) AS x FROM predictions
+  WHERE file_id IS NOT NULL AND model_name = 'deletion' AND predictions IS NOT NULL AND num_frames IS NOT NULL GROUP BY file_id)""")
 def src_predictions(spark, d):
-    p = table(spark, d, "predictions").where("file_id IS NOT NULL AND model_name = 'deletion' AND predictions IS NOT NULL").groupBy("file_id").agg(F.max_by(F.struct("num_frames", "predictions"), "num_frames").alias("x")).select("file_id", "x.*")
+    p = table(spark, d, "predictions").where("file_id IS NOT NULL AND model_name = 'deletion' AND predictions IS NOT NULL AND num_frames IS NOT NULL")
+    p = p.groupBy("file_id").agg(F.max(F.struct("num_frames", "predictions")).alias("x")).select("file_id", "x.*")
     W.json_lines(p, path := staged_path(spark, "predictions"), "file_id", "num_frames", "predictions")
-    return R.predictions(spark, path).select("file_id", "num_frames")
+    return R.predictions(spark, path).select("file_id", "num_frames", "predictions")
 
 
-@query("SNK02_sharded_parquet", "SELECT ((row_number() OVER (ORDER BY uttid) - 1) // 100)::INT AS shard, uttid FROM (SELECT DISTINCT uttid FROM encoder_archive WHERE uttid IS NOT NULL)")
+@query("SNK02_sharded_parquet", "SELECT ((row_number() OVER (ORDER BY uttid) - 1) // 1000)::INT AS shard, uttid, rows, samples FROM (SELECT uttid, count(*) AS rows, sum(coalesce(len(audio), 0))::BIGINT AS samples FROM encoder_archive WHERE uttid IS NOT NULL GROUP BY uttid)")
 def sharded_parquet(spark, d):
-    ids = table(spark, d, "encoder_archive").where("uttid IS NOT NULL").select("uttid").distinct()
-    return W.sharded(ids, "uttid", staged_path(spark, "shards"), 100).select("shard", "uttid")
+    """Records at 1000 ids a file, written and read again."""
+    records = table(spark, d, "encoder_archive").where("uttid IS NOT NULL").groupBy("uttid").agg(F.count("*").alias("rows"), F.sum(F.coalesce(F.size("audio"), F.lit(0))).alias("samples"))
+    return W.sharded(records, "uttid", staged_path(spark, "shards"), 1000).select("shard", "uttid", "rows", "samples")
 
 
 @query("SNK10_two_ways", "SELECT CASE WHEN contains(text, '<FINAL>') OR NOT regexp_matches(text, '</?unknown>|<del>|</?unclear>') THEN 'finalized' ELSE 'not_finalized' END AS side, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -408,33 +460,125 @@ def src_paired(spark, d):
     return R.paired(table(spark, d, "transcription").where("text IS NOT NULL").select("utt_id", "text"), heard).distinct()
 
 
-@query("SNK01_segment_rows", """SELECT archive_id, len(audio) AS samples, len(targets.labels) AS n_labels, json_extract_string(json_object('uttid', uttid, 'rate', sample_rate), '$.uttid') AS meta_id FROM encoder_archive WHERE audio IS NOT NULL AND uttid IS NOT NULL""")
-def segment_rows(spark, d):
-    """Audio, labels and metadata of a segment in one row, in place of three files."""
-    a = table(spark, d, "encoder_archive").where("audio IS NOT NULL AND uttid IS NOT NULL")
-    row = a.select("archive_id", "audio", F.col("targets.labels").alias("labels"), F.to_json(F.struct("uttid", F.col("sample_rate").alias("rate"))).alias("meta"))
-    return row.select("archive_id", F.size("audio").cast("long").alias("samples"), F.size("labels").cast("long").alias("n_labels"), F.get_json_object("meta", "$.uttid").alias("meta_id"))
+# A record's first row with audio, by its number, as the three files of a segment.
+TRIPLES = """(SELECT uttid, arg_min({'audio': audio, 'rate': sample_rate, 'labels': targets.labels}, archive_id) AS x FROM encoder_archive
+  WHERE uttid IS NOT NULL AND len(audio) > 0 AND sample_rate > 0 AND targets.labels IS NOT NULL GROUP BY uttid)"""
+SOUND = "list_transform(x.audio, lambda v: floor(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v::DOUBLE)) * 32767 + 0.5)::BIGINT)"
+
+
+def triples(spark, d):
+    """Where the wav, npy and json files of every archived record have been written."""
+    a = table(spark, d, "encoder_archive").where("uttid IS NOT NULL AND targets.labels IS NOT NULL AND sample_rate > 0").where(F.size("audio") > 0)
+    a = a.groupBy("uttid").agg(F.min_by(F.struct("audio", "sample_rate", F.transform("targets.labels", lambda x: x["label"]).alias("labels")), "archive_id").alias("x"))
+    rows = a.select("uttid", "x.audio", "x.sample_rate", "x.labels", F.to_json(F.struct("uttid", F.size("x.labels").alias("labels"))).alias("meta"))
+    return W.triples(rows, "uttid", "audio", "sample_rate", "labels", "meta", staged_path(spark, "triples"))
 
 
-@query("SNK06_metrics_json", "SELECT archive_metrics FROM (SELECT json_object('split', split_name, 'n', count(*))::VARCHAR AS archive_metrics FROM encoder_archive WHERE split_name IS NOT NULL GROUP BY split_name)")
+def sound(spark, path):
+    return R.wav_samples(spark, path).select(F.col("utt_id"), F.transform("samples", lambda v: F.round(v * 32768).cast("long")).alias("s"), "sample_rate")
+
+
+@query("SNK01_segment_triples", f"SELECT uttid AS utt_id, x.rate AS sample_rate, len(x.audio) AS samples, list_sum({SOUND})::BIGINT AS total, list_transform(x.labels, lambda l: l.label) AS labels, len(x.labels)::INT AS meta FROM {TRIPLES}")
+def segment_triples(spark, d):
+    """Audio, labels and metadata of every record as three files, and what they hold."""
+    path = triples(spark, d)
+    heard = sound(spark, path).select("utt_id", "sample_rate", F.size("s").cast("long").alias("samples"), F.aggregate("s", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    meta = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.get_json_object("value", "$.uttid").alias("utt_id"), F.get_json_object("value", "$.labels").cast("int").alias("meta"))
+    return J.inner_all([heard, R.npy_labels(spark, path), meta], "utt_id")
+
+
+@query("SRC17_npy_labels", f"SELECT uttid AS utt_id, list_transform(x.labels, lambda l: l.label) AS labels FROM {TRIPLES}")
+def src_npy(spark, d):
+    return R.npy_labels(spark, triples(spark, d))
+
+
+@query("SRC20_wav_folder", f"SELECT uttid AS utt_id, x.rate AS sample_rate, {SOUND} AS s FROM {TRIPLES}")
+def src_wav(spark, d):
+    return sound(spark, triples(spark, d))
+
+
+@query("SRC03_range_read", f"SELECT uttid AS utt_id, {SOUND}[floor(0.0013 * x.rate)::BIGINT + 1:least(len(x.audio), floor(0.0103 * x.rate)::BIGINT)] AS s FROM {TRIPLES}")
+def src_range(spark, d):
+    """A range of seconds of wav files, at the rate they have."""
+    path = triples(spark, d)
+    part = R.wav_range(spark, path, F.lit(0.0013), F.lit(0.0103))
+    return part.select("utt_id", F.transform("samples", lambda v: F.round(v * 32768).cast("long")).alias("s"))
+
+
+@query("SRC22_formats", "SELECT * FROM (VALUES ('labels', false), ('lines', true), ('named.jsonl', true)) t(name, is_json)")
+def src_formats(spark, d):
+    p = table(spark, d, "predictions").where("file_id IS NOT NULL AND predictions IS NOT NULL").select(F.col("file_id").alias("uttid"), F.transform("predictions", lambda x, i: F.struct(i.alias("frame_idx"), x.alias("label"))).alias("predictions"))
+    W.json_lines(p, lines := staged_path(spark, "lines"), "uttid")
+    W.label_lines(p, "uttid", "predictions", labels := staged_path(spark, "labels"))
+    W.json_lines(p, named := staged_path(spark, "named") + ".jsonl", "uttid")
+    rows = [(n, R.looks_like_json(spark, x)) for n, x in (("labels", labels), ("lines", lines), ("named.jsonl", named))]
+    return spark.createDataFrame(rows, "name string, is_json boolean")
+
+
+@query("SRC23_streamed_dataset", "SELECT archive_id, uttid, split_name, coalesce(len(audio), -1)::INT AS samples FROM encoder_archive")
+def src_stream(spark, d):
+    """The dataset as a stream of files, each micro-batch in an order by hash, written as it comes."""
+    files = staged_path(spark, "parts")
+    table(spark, d, "encoder_archive").select("archive_id", "uttid", "split_name", F.coalesce(F.size("audio"), F.lit(-1)).alias("samples")).repartition(6).write.parquet(files)
+    return R.streamed(spark, files, staged_path(spark, "streamed"), staged_path(spark, "progress"), "archive_id")
+
+
+PRED_COUNTS = """(SELECT model_name, count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 1 AND t <> 1) AS fp, count(*) FILTER (p <> 1 AND t = 1) AS fn, count(*) FILTER (p <> 1 AND t <> 1) AS tn FROM
+  (SELECT model_name, unnest(predictions[1:least(len(predictions), len(labels))]) AS p, unnest(labels[1:least(len(predictions), len(labels))]) AS t FROM predictions WHERE model_name IS NOT NULL AND predictions IS NOT NULL AND labels IS NOT NULL) GROUP BY model_name)"""
+SCORED = """model_name, tp, fp, fn, tn, round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn)::DOUBLE / (tp + fp + fn + tn) ELSE 0 END, 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"""
+
+
+@query("SNK06_metrics_json", f"SELECT {SCORED} FROM {PRED_COUNTS}")
 def metrics_json(spark, d):
-    n = table(spark, d, "encoder_archive").where("split_name IS NOT NULL").groupBy(F.col("split_name").alias("split")).agg(F.count("*").alias("n"))
-    return n.select(F.to_json(F.struct("split", "n")).alias("archive_metrics"))
+    """Accuracy, precision, recall, F1 and the confusion counts of each model as a JSON object; written and read again."""
+    p = table(spark, d, "predictions").where("model_name IS NOT NULL AND predictions IS NOT NULL AND labels IS NOT NULL")
+    n = F.least(F.size("predictions"), F.size("labels"))
+    pairs_ = p.select("model_name", F.explode(F.zip_with(F.slice("predictions", F.lit(1), n), F.slice("labels", F.lit(1), n), lambda a, b: F.struct(a.alias("p"), b.alias("t")))).alias("x"))
+    counts = pairs_.groupBy("model_name").agg(*[c.alias(k) for k, c in M.binary_counts(F.col("x.t") == 1, F.col("x.p") == 1).items()])
+    W.metrics_json(counts, "model_name", path := staged_path(spark, "metrics"))
+    return spark.read.schema("model_name string, tp long, fp long, fn long, tn long, accuracy double, precision double, recall double, f1 double").json(path)
+
+
+@query("SNK12_report", f"""SELECT model_name || ': accuracy ' || printf('%.2f', 100 * accuracy) || ' % [ ' || (tp + tn) || ' / ' || (tp + fp + fn + tn) || ', ' || fp || ' false alarms, ' || fn || ' missed ]' AS line FROM (SELECT {SCORED} FROM {PRED_COUNTS})""")
+def report(spark, d):
+    """The lines of a printed report."""
+    m = metrics_json(spark, d)
+    line = F.format_string("%s: accuracy %.2f %% [ %d / %d, %d false alarms, %d missed ]", "model_name", F.col("accuracy") * 100, F.expr("tp + tn"), F.expr("tp + fp + fn + tn"), "fp", "fn")
+    return m.select(line.alias("line"))
 
 
-@query("SNK07_request_lines", "SELECT count(*) AS n FROM documents WHERE text IS NOT NULL")
+@query("SNK11_replaced", "SELECT utt_id, text || ' (2)' AS text, 'new' AS which FROM (SELECT utt_id, max(text) AS text FROM transcription WHERE utt_id IS NOT NULL AND text IS NOT NULL GROUP BY utt_id) UNION ALL SELECT utt_id, max(text), 'backup' FROM transcription WHERE utt_id IS NOT NULL AND text IS NOT NULL GROUP BY utt_id")
+def replaced(spark, d):
+    """A dataset rewritten in its place: the new version stands beside it until it is whole, and the old one is kept."""
+    t = table(spark, d, "transcription").where("utt_id IS NOT NULL AND text IS NOT NULL").groupBy("utt_id").agg(F.max("text").alias("text"))
+    t.write.parquet(path := staged_path(spark, "in-place"))
+    backup = W.replace(spark, path, lambda df: df.withColumn("text", F.expr("text || ' (2)'")))
+    return spark.read.parquet(path).withColumn("which", F.lit("new")).unionByName(spark.read.parquet(backup).withColumn("which", F.lit("backup")))
+
+
+@query("SNK07_request_lines", "SELECT doc_id::VARCHAR AS id, text AS asr FROM documents WHERE text IS NOT NULL")
 def request_lines(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     W.text_lines(docs, D.request(F.col("doc_id").cast("string"), F.col("text"), F.lit("None")), path := staged_path(spark, "requests"))
-    back = spark.read.text(path).select(F.get_json_object("value", "$.custom_id").alias("id"))
-    return back.where("id IS NOT NULL").agg(F.count("*").alias("n"))
+    content = F.get_json_object(F.get_json_object("value", "$.body.input[1].content"), "$.asr")
+    return spark.read.text(path).select(F.get_json_object("value", "$.custom_id").alias("id"), content.alias("asr"))
+
+
+BATCHES = "(SELECT pred_id, predictions, (row_number() OVER (ORDER BY len(predictions), pred_id) - 1) // 32 AS batch FROM (SELECT DISTINCT pred_id, predictions FROM predictions WHERE predictions IS NOT NULL AND pred_id IS NOT NULL))"
+
+
+@query("PRT03_padded_batches", f"""SELECT batch, pred_id, list_transform(range(1, widest + 1), lambda i: coalesce(predictions[i], -100)) AS padded, list_transform(range(1, widest + 1), lambda i: CASE WHEN i <= len(predictions) THEN 1 ELSE 0 END) AS mask
+  FROM (SELECT *, max(len(predictions)) OVER (PARTITION BY batch) AS widest FROM {BATCHES})""")
+def padded_batches(spark, d):
+    """Batches of 32 sequences of like length, padded to the longest of their batch (DSP21), with a mask."""
+    p = table(spark, d, "predictions").where("predictions IS NOT NULL AND pred_id IS NOT NULL").select("pred_id", "predictions").distinct()
+    return J.padded_batches(p, "pred_id", "predictions", 32, -100).select("batch", "pred_id", "padded", "mask")
 
 
-@query("SNK08_confidence_object", "SELECT count(DISTINCT pred_id) AS utterances FROM predictions WHERE predictions IS NOT NULL")
-def confidence_object(spark, d):
-    p = table(spark, d, "predictions").where("predictions IS NOT NULL").select(F.col("pred_id").cast("string").alias("utt_id"), F.transform("predictions", lambda x: (x * 0.25).cast("float")).alias("c")).dropDuplicates(["utt_id"])
-    objects = W.confidence_json(p, "utt_id", "c")
-    return objects.select(F.explode(F.json_object_keys("value")).alias("k")).agg(F.count("*").alias("utterances"))
+@query("PRT02_rank_shards", f"SELECT pred_id, r % 3 AS rank, r // 3 AS place FROM (SELECT pred_id, row_number() OVER (ORDER BY pred_id) - 1 AS r FROM (SELECT DISTINCT pred_id FROM predictions WHERE pred_id IS NOT NULL))")
+def rank_shards(spark, d):
+    return J.rank_shards(table(spark, d, "predictions").where("pred_id IS NOT NULL").select("pred_id").distinct(), "pred_id", 3)
 
 
 @query("SNK09_question_and_text", REPLIES)
@@ -446,9 +590,12 @@ def question_and_text(spark, d):
     return q.join(f, "doc_id")
 
 
-@query("SRC18_dataset", "SELECT split_name, count(*) AS n FROM encoder_archive GROUP BY split_name")
+@query("SRC18_dataset", "SELECT archive_id, uttid, sample_rate, split_name, dataset, len(audio)::INT AS samples, round(list_sum(list_transform(audio, lambda v: v::DOUBLE)), 4) AS total, len(targets.labels)::INT AS labels, targets.raw AS raw FROM encoder_archive")
 def src_dataset(spark, d):
-    return table(spark, d, "encoder_archive").groupBy("split_name").agg(F.count("*").alias("n"))
+    a = R.dataset(spark, f"{d}/encoder_archive.parquet")
+    total = F.when(F.size("audio") > 0, F.round(F.aggregate("audio", F.lit(0.0), lambda s, v: s + v.cast("double")), 4))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return a.select("archive_id", "uttid", "sample_rate", "split_name", "dataset", size("audio").alias("samples"), total.alias("total"), size("targets.labels").alias("labels"), F.col("targets.raw").alias("raw"))
 
 
 @query("STR01_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -457,7 +604,8 @@ def tumbling(spark, d):
     return w.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("STR02_sessions")
+@query("STR02_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
+  FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s""")
 def sessions(spark, d):
     w = ST.sessions(table(spark, d, "events"), "ts", ["user_id"])
     return w.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")

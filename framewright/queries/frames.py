@@ -18,16 +18,16 @@ def parsed(spark, d):
     return table(spark, d, "shard_rows").select(*KEY, "num_frames", L.parse_labels(F.col("labels_raw")).alias("labels"))
 
 
-# Segments of a recording of at most 400 s as events: the label from the part, times from the recording's start.
+# Segments of a recording as events: the label from the part, times from the recording's start.
 LABEL = "CASE part_name WHEN 'noise' THEN 1 WHEN 'rir' THEN 2 WHEN 'interference' THEN 3 WHEN 'packet_loss' THEN 4 WHEN 'missing' THEN 5 ELSE 0 END"
 EVENTS = f"""(SELECT segment_id, recording_id, {LABEL} AS label, start_sec AS s, end_sec AS e FROM (SELECT DISTINCT segment_id, recording_id, part_name, start_sec, end_sec FROM segments)
-  WHERE recording_id IS NOT NULL AND start_sec >= 0 AND end_sec > start_sec AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND end_sec < 1e6)"""
+  WHERE recording_id IS NOT NULL AND start_sec >= 0 AND end_sec > start_sec AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND NOT isinf(end_sec))"""
 HOP = 1.0
 
 
 def events(spark, d):
     s = table(spark, d, "segments").select("segment_id", "recording_id", "part_name", "start_sec", "end_sec").distinct()
-    ok = "recording_id IS NOT NULL AND start_sec >= 0 AND end_sec > start_sec AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND end_sec < 1e6"
+    ok = "recording_id IS NOT NULL AND start_sec >= 0 AND end_sec > start_sec AND NOT isnan(start_sec) AND NOT isnan(end_sec) AND end_sec < double('inf')"
     return s.where(ok).select("segment_id", "recording_id", F.expr(LABEL).alias("label"), F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
 
 
@@ -144,9 +144,9 @@ def pad(spark, d):
     return p.distinct()
 
 
-@query("LBL27_arg_max", "SELECT vec_id, list_position(embedding[1:10], list_max(embedding[1:10]))::INT - 1 AS cls FROM embeddings")
+@query("LBL27_arg_max", "SELECT vec_id, list_position(embedding, list_max(embedding))::INT - 1 AS cls FROM embeddings")
 def arg_max(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", L.arg_max(F.slice("embedding", 1, 10)).alias("cls"))
+    return table(spark, d, "embeddings").select("vec_id", L.arg_max(F.col("embedding")).alias("cls"))
 
 
 @query("FLT01_no_empty_list", "SELECT file_path, row_idx FROM shard_rows WHERE NOT contains(labels_raw, '[]')")
@@ -182,9 +182,11 @@ def max_length(spark, d):
     return table(spark, d, "encoder_archive").where("audio IS NOT NULL").where(F.size("audio") <= 0.02 * F.col("sample_rate")).select("archive_id")
 
 
-@query("FLT07_require_labels", "SELECT pred_id, len(list_filter(labels, lambda x: x <> -100)) AS kept FROM predictions WHERE labels IS NOT NULL")
+@query("FLT07_require_labels", "SELECT DISTINCT pred_id, list_transform(list_filter(range(1, len(labels) + 1), lambda i: labels[i] <> 0), lambda i: i - 1) AS kept, list_filter(labels, lambda x: x <> 0) AS values FROM predictions WHERE labels IS NOT NULL")
 def require_labels(spark, d):
-    return table(spark, d, "predictions").where("labels IS NOT NULL").select("pred_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("kept"))
+    """Rows with labels, without the frames that the ignored index (here 0) masks."""
+    at = F.filter(F.transform("labels", lambda x, i: F.when(x != 0, i.cast("long"))), lambda x: x.isNotNull())
+    return table(spark, d, "predictions").where("labels IS NOT NULL").select("pred_id", at.alias("kept"), F.filter("labels", lambda x: x != 0).alias("values")).distinct()
 
 
 @query("FLT08_drop_blanks", f"SELECT pred_id, CASE WHEN len(predictions) > 2 THEN list_filter(predictions, lambda x: x <> 0) ELSE predictions END AS emitted FROM {PREDS}")
@@ -225,6 +227,13 @@ def label_names(spark, d):
     return preds(spark, d).select("pred_id", F.array_join(F.transform("predictions", lambda x: F.coalesce(F.get(names, x), F.concat(F.lit("Class_"), x.cast("string")))), " ").alias("line"))
 
 
-@query("SNK04_prediction_json")
+def d_member(name: str, value: str) -> str:
+    return f"CASE WHEN {name} IS NOT NULL THEN '\"{name}\":' || {value} END"
+
+
+D_LINE = "'{' || concat_ws(',', " + ", ".join([d_member("file_id", "to_json(file_id)"), d_member("num_frames", "num_frames"), *[d_member(c, f"'[' || array_to_string({c}, ',') || ']'") for c in ("predictions", "labels")]]) + ") || '}'"
+
+
+@query("SNK04_prediction_json", f"SELECT {D_LINE} AS line FROM predictions")
 def prediction_json(spark, d):
     return table(spark, d, "predictions").select(F.to_json(F.struct("file_id", "num_frames", "predictions", "labels")).alias("line"))

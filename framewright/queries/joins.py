@@ -102,10 +102,10 @@ def question_answer(spark, d):
     return q.join(u.where("uttid <> base").select("base", F.col("uttid").alias("answer")), "base").select("question", "answer")
 
 
-@query("JON09_unanswered", f"SELECT uttid AS answer FROM {ARCHIVED} a WHERE uttid <> base AND NOT EXISTS (SELECT 1 FROM {ARCHIVED} q WHERE q.uttid = a.base)")
+@query("JON09_unanswered", "SELECT DISTINCT utt_id AS answer FROM recog r WHERE utt_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM transcription t WHERE t.utt_id = r.utt_id)")
 def unanswered(spark, d):
-    u = table(spark, d, "encoder_archive").where("uttid IS NOT NULL").select(T.strip_round(F.col("uttid")).alias("base"), "uttid").distinct()
-    return u.where("uttid <> base").join(u.select(F.col("uttid").alias("base")), "base", "left_anti").select(F.col("uttid").alias("answer"))
+    """Answers (recognised texts) whose question (transcription) is missing."""
+    return hyp(spark, d).select("utt_id").distinct().join(ref(spark, d), "utt_id", "left_anti").select(F.col("utt_id").alias("answer"))
 
 
 @query("JON12_archive_intersect", "SELECT DISTINCT segment_id AS id FROM segments WHERE segment_id IN (SELECT segment_id FROM shard_rows)")

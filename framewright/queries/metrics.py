@@ -149,9 +149,14 @@ def confusion_matrix(spark, d):
     return M.confusion_matrix(frames(spark, d), "t", "p", K)
 
 
-@query("AGG17_gathered_counts", f"SELECT model_name, count(DISTINCT pred_id) AS predictions, count(*) AS frames FROM {FRAMES} GROUP BY model_name")
-def gathered_counts(spark, d):
-    return frames(spark, d).groupBy("model_name").agg(F.count_distinct("pred_id").alias("predictions"), F.count("*").alias("frames"))
+@query("AGG17_gathered_metrics", f"""SELECT model_name, count(DISTINCT pred_id) AS predictions, count(*) AS frames, count(*) FILTER (p = t) AS correct, round(count(*) FILTER (p = t)::DOUBLE / count(*), 6) AS accuracy,
+  count(*) FILTER (t > 0 AND p > 0) AS tp, count(*) FILTER (t <= 0 AND p > 0) AS fp, count(*) FILTER (t > 0 AND p <= 0) AS fn FROM {FRAMES} WHERE p IS NOT NULL AND t IS NOT NULL GROUP BY model_name""")
+def gathered_metrics(spark, d):
+    """The metrics of all partitions in one aggregate: partial counts are what is gathered."""
+    f = frames(spark, d).where("p IS NOT NULL AND t IS NOT NULL")
+    right = F.count_if(F.col("p") == F.col("t"))
+    n = f.groupBy("model_name").agg(F.count_distinct("pred_id").alias("predictions"), F.count("*").alias("frames"), right.alias("correct"), *[c.alias(k) for k, c in M.binary_counts(F.col("t") > 0, F.col("p") > 0).items()])
+    return n.withColumn("accuracy", F.round(F.col("correct") / F.col("frames"), 6)).drop("tn")
 
 
 @query("AGG18_majority_label", f"SELECT pred_id, t AS label FROM (SELECT pred_id, t, row_number() OVER (PARTITION BY pred_id ORDER BY count(*) DESC, t) AS r FROM {FRAMES} WHERE t IS NOT NULL GROUP BY pred_id, t) WHERE r = 1")

@@ -179,6 +179,33 @@ def cut(samples: Column, rate: Column, start: Column, end: Column) -> Column:
     return F.slice(samples, a + 1, F.greatest(z - a, F.lit(0)))
 
 
+def wav_range(spark: SparkSession, path: str, start: Column, end: Column, to: int | None = None, channel: str = "first") -> DataFrame:
+    """utt_id, samples, sample_rate of the seconds [start, end) of each file; resampled by FFT to ``to`` if that is another rate."""
+    df = wav_samples(spark, path, channel).withColumn("samples", cut(F.col("samples"), F.col("sample_rate"), start, end))
+    if to is None:
+        return df
+    from framewright.operators.distort import resample, signal
+
+    other = F.col("sample_rate") != to
+    new = F.when(other, signal(lambda x, r: resample(x, int(r), to), F.col("samples"), F.col("sample_rate"))).otherwise(F.col("samples"))
+    return df.select("utt_id", new.alias("samples"), F.when(F.col("samples").isNotNull(), F.lit(to)).alias("sample_rate"))
+
+
+def streamed(spark: SparkSession, path: str, out: str, progress: str, key: str, files_per_trigger: int = 2, seed: int = 42) -> DataFrame:
+    """All files that are there now as a stream; the rows of each micro-batch, which is the buffer, in an order by hash. Written to ``out``."""
+    from framewright.operators.joins import draw
+
+    def shuffle(df: DataFrame, batch: int) -> None:
+        df.orderBy(draw(seed, batch, F.col(key))).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    q = stream(spark, path, files_per_trigger).writeStream.foreachBatch(shuffle).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return spark.read.parquet(out).drop("batch")
+
+
 def dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

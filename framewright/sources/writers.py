@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import os
+import uuid
+import wave
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as L
@@ -29,10 +38,66 @@ def json_lines(df: DataFrame, path: str, *columns: str) -> None:
     text_lines(df, F.to_json(F.struct(*columns)), path)
 
 
-def confidence_json(df: DataFrame, key: str, values: str) -> DataFrame:
-    """One JSON object a partition: {id: {word_confidence: [...]}}."""
+def confidence_json(df: DataFrame, key: str, values: str, per_object: int = 1000) -> DataFrame:
+    """JSON objects {id: {word_confidence: [...]}} of at most ``per_object`` ids each, in the order of the ids. Ids must be unique."""
     entry = F.struct(F.col(key), F.struct(F.col(values).alias("word_confidence")))
-    return df.groupBy(F.spark_partition_id().alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    return fixed_shards(df, key, per_object).groupBy("shard").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+
+
+def metrics_json(counts: DataFrame, key: str, path: str) -> None:
+    """tp, fp, fn, tn of each key with accuracy, precision, recall and F1 as JSON lines."""
+    from framewright.operators.metrics import binary_scores, ratio
+
+    accuracy = F.round(ratio(F.expr("tp + tn"), F.expr("tp + fp + fn + tn")), 6)
+    binary_scores(counts.withColumn("accuracy", accuracy)).select(key, "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1").write.json(path)
+
+
+def triples(df: DataFrame, key: str, samples: str, rate: str, labels: str, meta: str, path: str) -> str:
+    """<key>.wav (PCM of 16 bits), <key>.npy (labels) and <key>.json of every row, in a folder that all executors have mounted.
+
+    A file is written under a name of its own and then renamed, so a task that runs twice does no harm. Returns the folder.
+    """
+    folder = path.removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError(f"{path} is no mounted folder")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for k, x, r, ls, m in zip(*(b[c] for c in (key, samples, rate, labels, meta)), strict=True):
+                pcm = np.floor(np.clip(np.asarray(x, np.float64), -1, 1) * 32767 + 0.5).astype("<i2")
+                wav, npy = io.BytesIO(), io.BytesIO()
+                with wave.open(wav, "wb") as w:
+                    w.setnchannels(1), w.setsampwidth(2), w.setframerate(int(r))
+                    w.writeframes(pcm.tobytes())
+                np.save(npy, np.asarray(ls, np.int32))
+                for suffix, data in (("wav", wav.getvalue()), ("npy", npy.getvalue()), ("json", m.encode())):
+                    name = f"{folder}/{quote(str(k), safe='-_.')}.{suffix}"
+                    with open(part := f"{folder}/.{uuid.uuid4().hex}.part", "wb") as f:
+                        f.write(data)
+                    os.replace(part, name)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    df.select(key, samples, rate, labels, meta).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    os.makedirs(folder, exist_ok=True)
+    return path
+
+
+def replace(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> str:
+    """Rewrite a dataset in its place: the new version is written beside it, the old one kept under ``<path>.bak``; returns that.
+
+    Readers see the old or the new version, but for the moment between two renames. A backup of an earlier rewrite goes.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old = f"{path}.new", f"{path}.bak"
+    fs.delete(at(new), True)
+    change(spark.read.parquet(path)).write.parquet(new)
+    fs.delete(at(old), True)
+    if not fs.rename(at(path), at(old)) or not fs.rename(at(new), at(path)):
+        raise OSError(f"{path} could not be replaced; the old version is at {old}")
+    return old
 
 
 def two_ways(df: DataFrame, flag: Column, path: str) -> None:

@@ -185,3 +185,33 @@ def test_zero_segment_of_every_length(spark, tmp_path):
     con.execute(f"CREATE VIEW encoder_archive AS SELECT * FROM '{path}/*.parquet'")
     assert got == dict(con.sql(catalog.SQL["DSP09_zero_segment_all"]).fetchall())
     assert set(got) == {i for i, _ in rows} and got[0] == 0 and got[13] == 34
+
+
+def test_triples_batches_and_replacement(spark, tmp_path):
+    from framewright.operators.joins import padded_batches, rank_shards
+    from framewright.sources import writers as W
+
+    rows = [("a/b", [0.5, -1.5, 0.0], 8000, [1, 0], "{}"), ("ü", [1.0], 16000, [], '{"x": 1}')]
+    df = spark.createDataFrame(rows, "k string, x array<float>, r int, l array<int>, m string")
+    for _ in range(2):  # a task that runs twice does no harm
+        path = W.triples(df, "k", "x", "r", "l", "m", f"file://{tmp_path}/t")
+    files = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert len(files) == 6 and not any(f.endswith(".part") for f in files)
+    got = {r.sample_rate: [round(v * 32768) for v in r.samples] for r in R.wav_samples(spark, path).collect()}
+    assert got == {8000: [16384, -32767, 0], 16000: [32767]}
+    half = {r.sample_rate for r in R.wav_range(spark, path, F.lit(0.0), F.lit(1.0), 8000).collect()}
+    assert half == {8000}
+    d = spark.createDataFrame([(k, list(range(k % 5))) for k in range(23)], "k long, v array<int>")
+    out = padded_batches(d, "k", "v", 4, -1).collect()
+    assert len(out) == 23 and all(len(r.padded) == len(r.mask) and sum(r.mask) == r.k % 5 for r in out)
+    assert {r.k: (r.rank, r.place) for r in rank_shards(d.select("k"), "k", 3).collect()} == {k: (k % 3, k // 3) for k in range(23)}
+    d.write.parquet(at := f"file://{tmp_path}/d")
+    for n in (1, 2):
+        old = W.replace(spark, at, lambda x: x.withColumn("k", x.k + 100))
+        assert spark.read.parquet(at).agg(F.min("k")).first()[0] == 100 * n and spark.read.parquet(old).agg(F.min("k")).first()[0] == 100 * (n - 1)
+
+
+def test_a_stream_keeps_all_rows(spark, tmp_path):
+    spark.range(500).withColumn("s", F.lit("x")).repartition(7).write.parquet(at := f"file://{tmp_path}/in")
+    out = R.streamed(spark, at, f"file://{tmp_path}/out", f"file://{tmp_path}/progress", "id")
+    assert sorted(r.id for r in out.collect()) == list(range(500))
