@@ -114,8 +114,9 @@ def test_compaction_keeps_every_record_once(spark, tmp_path):
     for r in got:
         by_file[r.target_dir, r.file_no] = by_file.get((r.target_dir, r.file_no), 0) + size[r.file_path]
     assert max(by_file.values()) < 100 + 40
-    many = compaction_plan(manifest, 100, slice_files=2).collect()
-    assert len(many) == 20
+    # However many ranges, the order and the groups are the same.
+    same = lambda p: sorted((r.file_path, r.target_dir, r.file_no) for r in p.collect())
+    assert same(compaction_plan(manifest, 100, slices=13)) == same(compaction_plan(manifest, 100, slices=1)) == same(plan)
     work = Compaction(df, plan)
     when = {f: t for f, _, t in files}
     best = {}
@@ -127,8 +128,14 @@ def test_compaction_keeps_every_record_once(spark, tmp_path):
     written = work.rewrite(str(tmp_path / "out"))
     assert sorted((r.segment_id or "", r.w or 0) for r in written.collect()) == sorted((s or "", w or 0) for s, w in best)
     assert all(r.whole for r in reconcile(work, written).collect())
+    files_of = written.select("target_dir", "out_file", F.input_file_name().alias("f")).distinct().collect()
+    assert len({r.f for r in files_of}) == len({(r.target_dir, r.out_file) for r in files_of}) == len(files_of)
+    # Files that the manifest lacks: bounded output files, nothing lost.
+    lost = Compaction(df, compaction_plan(manifest.where("false"), 100), max_rows=20)
+    parts = lost.rewrite(str(tmp_path / "lost")).groupBy("out_file").count().collect()
+    assert sum(r["count"] for r in parts) == len(best) and len(parts) > 3 and lost.surplus().count() == len(rows) - len(best)
     none = Compaction(df.where("false"), compaction_plan(manifest.where("false"), 100))
-    assert none.surplus().count() == 0
+    assert none.surplus().count() == 0 and none.rewrite(str(tmp_path / "none")).count() == 0
 
 
 def test_joins(spark):
