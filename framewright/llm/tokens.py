@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.plans.tables import ship, stage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -142,6 +144,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
     Strings that look like special tokens are ordinary text. A column named ``ids`` is replaced. Repeated rows stay; a long
     text that occurs often is encoded once. Long and short texts go apart, so a giant text never holds up a task.
     """
+    ship(df.sparkSession)
     rest = [c for c in df.columns if c != ids]
     df = df.select(*rest)
     short_schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -156,7 +159,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
     size = F.coalesce(F.length(text), F.lit(0))
     short = df.where(size <= long).mapInArrow(run_short, short_schema)
 
-    wide = df.where(size > long)
+    wide = stage(df.where(size > long), "long")  # few, and read twice
     key = F.sha2(F.col(text), 256)
     texts = wide.select(key.alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
 
