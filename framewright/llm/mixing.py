@@ -9,6 +9,7 @@ random odds divided by inclusion odds and the first ones are taken, until the so
 from __future__ import annotations
 
 from collections import defaultdict
+from math import floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ def _copies(classes: list[tuple[float, int, int]], cap: int, budget: float) -> l
 
 
 def plan(sizes: list[tuple[str, int, int, int]], targets: list[tuple[str, str, float, int]], damping: float = DAMPING, total: float | None = None) -> list[tuple]:
-    """(mix, source, size class, copies, budget) from (source, class, documents, tokens) and (mix, source, share, max_repeats).
+    """(mix, source, size class, copies, budget, certain) from (source, class, documents, tokens) and (mix, source, share, max_repeats).
+
+    ``certain`` is the size of the whole copies of all classes of the source, which leave the rest of the budget to the draw.
 
     Shares are relative within a mix; sources without tokens can give nothing and are left out of the division. The plan is
     made of one row per source and power of two, so it is small whatever the corpus.
@@ -55,8 +58,9 @@ def plan(sizes: list[tuple[str, int, int, int]], targets: list[tuple[str, str, f
         for s, share, cap in parts:
             budget = size * share / whole
             classes = [(2.0 ** (-damping * c), n, t) for c, n, t in by_source[s]]
-            for (c, _, _), copies in zip(by_source[s], _copies(classes, cap, budget), strict=True):
-                out.append((m, s, c, min(float(cap), copies), budget))
+            every = [min(float(cap), x) for x in _copies(classes, cap, budget)]
+            certain = sum(floor(x + 1e-9) * t for x, (_, _, t) in zip(every, by_source[s], strict=True))
+            out += [(m, s, c, x, budget, certain) for (c, _, _), x in zip(by_source[s], every, strict=True)]
     return out
 
 
@@ -68,25 +72,25 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", source: s
     """
     spark = documents.sparkSession
     size_class = F.floor(F.log2(F.col(tokens))).cast("int")
+    # The sources that the targets name are few, as is the plan: a row per mix, source and power of two. Spark broadcasts both if small.
+    named = targets.where("target_share > 0 AND max_repeats > 0").select(F.col("source").alias("_s")).distinct()
+    documents = documents.join(named, F.col(source) == F.col("_s"), "left_semi")
     docs = documents.where(F.col(source).isNotNull() & F.col(key).isNotNull() & (F.col(tokens) > 0))
     docs = stage(docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(tokens).cast("long").alias("t"), size_class.alias("c")), "sized")
     sizes = [tuple(r) for r in docs.groupBy("s", "c").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toLocalIterator()]
     wanted = [tuple(r) for r in targets.select("mix_name", "source", "target_share", "max_repeats").distinct().toLocalIterator()]
     rows = plan(sizes, wanted, damping, total)
-    plan_df = spark.createDataFrame(rows, "mix_name string, s string, c int, copies double, budget double")
-    # One row per mix, source and power of two.
-    e = docs.join(F.broadcast(plan_df), ["s", "c"])
+    plan_df = spark.createDataFrame(rows, "mix_name string, s string, c int, copies double, budget double, certain long")
+    e = docs.join(plan_df, ["s", "c"])
     sure = F.floor(F.col("copies") + 1e-9).cast("long")
     e = e.withColumns({"sure": sure, "pi": F.greatest(F.col("copies") - sure, F.lit(0.0))})
     u = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "s", "k"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
-    drawn = e.where("pi > 1e-9").select("mix_name", "s", odds.alias("q"), "k", "t")
-    certain = e.groupBy("mix_name", "s").agg(F.sum(F.col("sure") * F.col("t")).alias("certain"), F.first("budget").alias("budget"))
+    drawn = e.where("pi > 1e-9").select("mix_name", "s", odds.alias("q"), "k", "t", (F.col("budget") - F.col("certain")).alias("left"))
     scan = OrderedScan(drawn, ["mix_name", "s"], ["q", "k"], "pareto")
     upto = scan.running(scan.df, {"upto": (F.col("t"), "sum")})
-    upto = upto.join(F.broadcast(certain), ["mix_name", "s"])  # one row per mix and source
     # The prefix whose size is nearest to what the certain copies leave.
-    extra = upto.where(F.col("upto") - F.col("t") / 2 <= F.col("budget") - F.col("certain")).select("mix_name", "k", F.lit(1).cast("long").alias("n"), "s", "t")
+    extra = upto.where(F.col("upto") - F.col("t") / 2 <= F.col("left")).select("mix_name", "k", F.lit(1).cast("long").alias("n"), "s", "t")
     fixed = e.where("sure > 0").select("mix_name", "k", F.col("sure").alias("n"), "s", "t")
     every = fixed.unionByName(extra).groupBy("mix_name", "k", "s", "t").agg(F.sum("n").alias("repeats"))
     return every.select("mix_name", F.col("k").alias(key), F.col("s").alias("source"), F.col("t").alias("tokens"), "repeats")

@@ -66,3 +66,22 @@ def test_longer_documents_are_drawn_less_often(spark):
         if r.source == "big":
             drawn[r.tokens] += 1
     assert drawn[5] > 2 * drawn[400] > 0
+
+
+def test_documents_are_drawn_as_often_as_planned(spark):
+    """The sample ends at a size, not at a number of documents; still each size class comes in by its inclusion probability."""
+    docs = documents(spark, 6000)
+    targets = [("m", "big", 0.35, 1), ("m", "mid", 0.65, 1)]
+    rows = M.mix(docs, spark.createDataFrame(targets, SCHEMA)).collect()
+    by_class = defaultdict(lambda: [0, 0])
+    for r in docs.where("tokens > 0 AND source IS NOT NULL").collect():
+        c = by_class[r.source, r.tokens.bit_length() - 1]
+        c[0], c[1] = c[0] + 1, c[1] + r.tokens
+    drawn = defaultdict(int)
+    for r in rows:
+        drawn[r.source, r.tokens.bit_length() - 1] += r.repeats
+    sizes = [(s, c, n, t) for (s, c), (n, t) in by_class.items()]
+    for _, s, c, copies, _, _ in M.plan(sizes, targets):
+        n = by_class[s, c][0]
+        pi = copies - int(copies + 1e-9)
+        assert abs(drawn[s, c] - n * copies) <= 4 * (n * max(pi, 0) * (1 - pi)) ** 0.5 + 3, (s, c, n, copies, drawn[s, c])
