@@ -91,7 +91,10 @@ def p1_splits(spark, d):
     return splits.split_segments(table(spark, d, "segments"), table(spark, d, "recordings"))
 
 
-@query("p1_shares")
+@query("p1_shares", f"""WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT segment_id, recording_id FROM segments WHERE segment_id IS NOT NULL)),
+w AS (SELECT split, CASE split WHEN 'train' THEN n - 2 * round(n * {splits.RATIOS['test']!r}::DOUBLE)::BIGINT ELSE round(n * {splits.RATIOS['test']!r}::DOUBLE)::BIGINT END AS segments, target_share, n
+  FROM (VALUES ('train', {splits.RATIOS['train']!r}), ('valid', {splits.RATIOS['valid']!r}), ('test', {splits.RATIOS['test']!r})) t(split, target_share), n)
+SELECT split, segments, round(segments::DOUBLE / n, 6) AS share, target_share::DOUBLE AS target_share FROM w""")
 def p1_shares(spark, d):
     return splits.shares(p1_splits(spark, d))
 
