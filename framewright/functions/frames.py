@@ -93,12 +93,10 @@ def expand_tokens(tokens: Column) -> Column:
 
 
 def dedup_last(labels: Column) -> Column:
-    """One label per frame, the last one given, sorted by frame."""
-
-    def last(ls: Column) -> Column:
-        return F.filter(ls, lambda x, i: ~F.exists(F.slice(ls, i + 2, F.greatest(F.size(ls) - i - 1, F.lit(0))), lambda y: y["frame_idx"] == x["frame_idx"]))
-
-    return F.array_sort(let(labels, last))
+    """One label per frame, the last one given, sorted by frame. Sorted once, then each is compared with the next."""
+    placed = F.array_sort(F.transform(labels, lambda x, i: F.struct(x["frame_idx"].alias("frame_idx"), i.alias("i"), x["label"].alias("label"))))
+    last = let(placed, lambda ls: F.filter(ls, lambda x, i: ~x["frame_idx"].eqNullSafe(F.get(ls, i + 1)["frame_idx"]) | (i == F.size(ls) - 1)))
+    return F.transform(last, lambda x: F.struct(x["frame_idx"].alias("frame_idx"), x["label"].alias("label")))
 
 
 def remap(labels: Column, reform: int = -1, add_rir: bool = False) -> Column:
@@ -112,13 +110,20 @@ def remap(labels: Column, reform: int = -1, add_rir: bool = False) -> Column:
 
 
 def dense(labels: Column, length: Column, fill: int | None = None) -> Column:
-    """A label per frame of 0..length-1, the last one given; null (or ``fill``) where there is none. Frames beyond are left out."""
+    """A label per frame of 0..length-1, the last one given; null (or ``fill``) where there is none. Frames beyond are left out.
+
+    The labels lie in order with the gaps before them filled, so a row takes time in proportion to its length.
+    """
+    nothing = F.lit(fill).cast("int")
+    inside = F.filter(dedup_last(labels), lambda x: (x["frame_idx"] >= 0) & (x["frame_idx"] < length))
 
-    def at(f: Column, ls: Column) -> Column:
-        hits = F.filter(ls, lambda x: x["frame_idx"] == f)
-        return F.coalesce(F.try_element_at(hits, F.lit(-1))["label"], F.lit(fill).cast("int"))
+    def lay(ls: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ls, i - 1)["frame_idx"]).otherwise(-1)
+        part = F.transform(ls, lambda x, i: F.concat(F.array_repeat(nothing, x["frame_idx"] - before(i) - 1), F.array(x["label"].cast("int"))))
+        tail = length - 1 - before(F.size(ls))
+        return F.concat(F.flatten(part), F.array_repeat(nothing, tail))
 
-    return let(labels, lambda ls: F.transform(span(F.lit(0), length), lambda f: at(f, ls)))
+    return F.when(length.isNotNull(), let(inside, lay))
 
 
 def filter_labels(labels: Column, remove_deletions: bool = False, sub_ins: bool = False, word_level: bool = False) -> Column:
@@ -133,7 +138,7 @@ def filter_labels(labels: Column, remove_deletions: bool = False, sub_ins: bool
 
 def run_starts(frames: Column) -> Column:
     """First frames of the runs of consecutive ones."""
-    return let(frames, lambda fs: F.array_sort(F.filter(F.array_distinct(fs), lambda f: ~F.array_contains(fs, f - 1))))
+    return let(F.array_sort(F.array_distinct(frames)), lambda fs: F.filter(fs, lambda f, i: (i == 0) | (F.get(fs, i - 1) != f - 1)))
 
 
 def pad_to(values: Column, n: Column) -> Column:

@@ -8,6 +8,7 @@ substitution). Costs are filled a row at a time in NumPy; the words are coded as
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -18,34 +19,58 @@ OPS = "array<struct<op:string,ref_idx:int,hyp_idx:int>>"
 WER_TIES, CONFIDENCE_TIES, TOKEN_TIES, PAIR_TIES, WORD_TIES = "dim", "mid", "mid", "mdi", "mdi"
 
 
-def edit_ops(ref: list[str], hyp: list[str], ties: str = "mdi") -> list[tuple[str, int, int]]:
-    """(op, ref_idx, hyp_idx) in order: C equal, S other, D only in ref, I only in hyp; -1 where there is no index."""
+CELLS = 1 << 22  # of the cost table that are kept at once; beyond, rows are kept at intervals and those between made again
+
+
+def edit_ops(ref: list[str], hyp: list[str], ties: str = "mdi", cells: int = CELLS) -> list[tuple[str, int, int]]:
+    """(op, ref_idx, hyp_idx) in order: C equal, S other, D only in ref, I only in hyp; -1 where there is no index.
+
+    Of a long pair every k-th row of the table is kept, k the square root of the rows, and the rows between are made again on
+    the way back: the same path in memory that grows with the root of the table.
+    """
     codes: dict[str, int] = {}
     r = np.fromiter((codes.setdefault(w, len(codes)) for w in ref), np.int64, len(ref))
     h = np.fromiter((codes.setdefault(w, len(codes)) for w in hyp), np.int64, len(hyp))
     n, m = len(r), len(h)
-    cost = np.empty((n + 1, m + 1), np.int32)
     along = np.arange(m + 1, dtype=np.int32)
-    cost[0] = along
-    for i in range(1, n + 1):
+    step = n + 1 if (n + 1) * (m + 1) <= cells else isqrt(n) + 1
+
+    def after(i: int, above: np.ndarray) -> np.ndarray:
         row = np.empty(m + 1, np.int32)
         row[0] = i
-        np.minimum(cost[i - 1, :-1] + (h != r[i - 1]), cost[i - 1, 1:] + 1, out=row[1:])
-        cost[i] = np.minimum.accumulate(row - along) + along
+        np.minimum(above[:-1] + (h != r[i - 1]), above[1:] + 1, out=row[1:])
+        return np.minimum.accumulate(row - along) + along
+
+    kept, row = {0: along}, along
+    if step <= n:
+        for i in range(1, n + 1):
+            row = after(i, row)
+            if i % step == 0:
+                kept[i] = row
     out: list[tuple[str, int, int]] = []
     i, j = n, m
+    base = n // step * step
+    cost = [kept[base]]
+    while len(cost) <= n - base:
+        cost.append(after(base + len(cost), cost[-1]))
     while i or j:
-        now = cost[i, j]
+        if i == base and i:  # the rows above
+            base -= step
+            cost = [kept[base]]
+            while len(cost) <= step:
+                cost.append(after(base + len(cost), cost[-1]))
+        here, above = cost[i - base], cost[i - base - 1] if i else None
+        now = here[j]
         for move in ties:
-            if move == "m" and i and j and cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]) == now:
+            if move == "m" and i and j and above[j - 1] + (r[i - 1] != h[j - 1]) == now:
                 i, j = i - 1, j - 1
                 out.append(("C" if r[i] == h[j] else "S", i, j))
                 break
-            if move == "d" and i and cost[i - 1, j] + 1 == now:
+            if move == "d" and i and above[j] + 1 == now:
                 i -= 1
                 out.append(("D", i, -1))
                 break
-            if move == "i" and j and cost[i, j - 1] + 1 == now:
+            if move == "i" and j and here[j - 1] + 1 == now:
                 j -= 1
                 out.append(("I", -1, j))
                 break
@@ -69,12 +94,18 @@ def op_counts(ops: Column) -> dict[str, Column]:
 
 
 def distance(ref: Column, hyp: Column) -> Column:
-    """Number of edits between two word arrays, in the JVM: words become code points of a private alphabet, then levenshtein."""
-    voc = F.array_distinct(F.concat(ref, hyp))
-    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(voc, w)), 4, "0")), "UTF-16BE")
-    coded = lambda a: F.array_join(F.transform(a, sign), "")
-    # Beyond the alphabet's size codes would meet the surrogates.
-    return F.when(F.size(voc) >= 30000, F.raise_error(F.lit("more than 30000 different words in a pair"))).otherwise(F.levenshtein(coded(ref), coded(hyp)))
+    """Number of edits between two word arrays, in the JVM: words become code points beyond the basic plane, then levenshtein.
+
+    There are a million of them; a pair with more different words, whose table nothing could hold, has a null distance.
+    """
+    from framewright.functions.frames import let
+
+    def edits(voc: Column) -> Column:
+        sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(voc, w)), 8, "0")), "UTF-32")
+        coded = lambda a: F.array_join(F.transform(a, sign), "")
+        return F.when(F.size(voc) < (1 << 20) - 2, F.levenshtein(coded(ref), coded(hyp)))
+
+    return let(F.array_distinct(F.concat(ref, hyp)), edits)
 
 
 def wer(errors: Column, n: Column) -> Column:

@@ -35,10 +35,20 @@ def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(first.alias("m")).select(key, "m.r.*")
 
 
-def ids_in_lines(lines: DataFrame, line: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Lines that hold one of the ids as a word: an exact semi-join on the words, in place of a search of every id in every line."""
-    words = lines.withColumn("_row", F.xxhash64(*lines.columns)).select("_row", line, F.explode(F.array_distinct(F.split(line, r"[\s,;:=|()\[\]{}\"']+"))).alias("_w"))
-    hit = words.join(ids.select(F.col(id_column).alias("_w")).distinct(), "_w", "left_semi")
+def ids_in_lines(lines: DataFrame, line: str, ids: DataFrame, id_column: str, whole_words: bool = True) -> DataFrame:
+    """Lines that hold one of the ids as a word, or anywhere: an exact semi-join in place of a search of every id in every line.
+
+    As a word, the line's words are joined; anywhere, its parts of each length that an id has. An empty id is in no line.
+    """
+    text = lines.select(line).where(F.col(line).isNotNull()).distinct()
+    known = ids.select(F.col(id_column).alias("_w")).where("_w <> ''").distinct()
+    if whole_words:
+        parts = F.array_distinct(F.split(line, r"[\s,;:=|()\[\]{}\"']+"))
+    else:
+        lengths = sorted(r[0] for r in known.select(F.length("_w")).distinct().collect())  # at most the length of an id
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - n + 1, F.lit(1))), lambda i: F.substring(F.col(line), i, F.lit(n)))
+        parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *[of(n) for n in lengths]))
+    hit = text.select(line, F.explode(parts).alias("_w")).join(known, "_w", "left_semi")
     return hit.select(line).distinct()
 
 
@@ -92,7 +102,9 @@ def padded_batches(df: DataFrame, key: str, values: str, size: int, fill: int) -
 
 
 def islands(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Runs of consecutive positions per key: first, last, length. For keys of bounded size."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    g = df.select(*keys, position).distinct().withColumn("_g", F.col(position) - F.row_number().over(w))
+    """Runs of consecutive positions per key: first, last, length. Ranks are counted over partitions, so no key is a hot task."""
+    from framewright.plans.scan import ranked
+
+    rows = df.select(*keys, position).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, position])).distinct()
+    g = ranked(rows, keys, [position], "_r", "islands").withColumn("_g", F.col(position) - F.col("_r"))
     return g.groupBy(*keys, "_g").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("length")).drop("_g")

@@ -53,7 +53,8 @@ def recall_at_fpr(scores: DataFrame, score: str, error: Column, fpr: float, by:
     keys = by or ["_one"]
     scores = scores if by else scores.withColumn("_one", F.lit(0))
     limits = threshold_at_fpr(scores, score, ~error, fpr, keys)
-    joined = scores.join(F.broadcast(limits), keys)  # one row per group of the report
+    # Without groups it is one row; the limits of groups are broadcast only if Spark finds them small.
+    joined = scores.join(limits if by else F.broadcast(limits), keys)
     counted = joined.where(F.col(score).isNotNull()).groupBy(*by, "threshold").agg(*[c.alias(k) for k, c in binary_counts(error, F.col(score) >= F.col("threshold")).items()])
     return binary_scores(counted)
 

@@ -53,10 +53,9 @@ def first_word_after(time: Column, starts: Column) -> Column:
 
 
 def deletion_positions(ops: Column) -> Column:
-    """For each deletion of an alignment the position after the last hypothesis word before it."""
-    before = lambda os, i: F.coalesce(F.array_max(F.transform(F.slice(os, F.lit(1), i), lambda o: o["hyp_idx"])), F.lit(-1)) + 1
-    at = L.let(ops, lambda os: F.transform(os, lambda o, i: F.when(o["op"] == "D", before(os, i))))
-    return F.filter(at, lambda x: x.isNotNull())
+    """For each deletion of an alignment the position after the last hypothesis word before it: what stands before it and is no deletion."""
+    at = F.filter(F.transform(ops, lambda o, i: F.when(o["op"] == "D", i)), lambda x: x.isNotNull())
+    return F.transform(at, lambda i, k: i - k)
 
 
 def frame_events(ops: Column, ref_tokens: Column, hyp_tokens: Column) -> Column:

@@ -320,13 +320,20 @@ def utterance_frames(spark, d):
     return e.groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("frames"))
 
 
-@query("MDL03_two_layer_head")
+D_DOT = lambda x, i, n, shift="0": f"list_sum(list_transform(range(0, {n}), lambda j: {x} * ((3 * {i} + 5 * j + {shift}) % 7 - 3) / 7.0::DOUBLE))"
+D_CLASS = "list(list_position(l, list_max(l))::INT - 1 ORDER BY vec_id) AS classes"
+
+
+@query("MDL03_two_layer_head", f"""SELECT utt, {D_CLASS} FROM (SELECT vec_id, vec_id // 50 AS utt, list_transform(range(0, 10), lambda i: {D_DOT('h[j + 1]', 'i', 10)}) AS l
+  FROM (SELECT vec_id, list_transform(range(0, 10), lambda i: greatest({D_DOT('greatest(embedding[j + 1]::DOUBLE, 0)', 'i', 64)}, 0)) AS h FROM embeddings)) GROUP BY utt""")
 def two_layer_head(spark, d):
     w1, w2 = np.array(W10), np.array(W10)[:, :10]
     return utterance_frames(spark, d).select("utt", H.predict(F.col("frames"), H.two_layer, w1, np.zeros(10), w2, np.zeros(10)).alias("classes"))
 
 
-@query("MDL04_cnn_head")
+@query("MDL04_cnn_head", f"""WITH s AS (SELECT vec_id, vec_id // 50 AS utt, list_transform(range(0, 8), lambda i: {D_DOT('embedding[j + 1]::DOUBLE', 'i', 64)} / 5) AS s FROM embeddings),
+  y AS (SELECT vec_id, utt, [{', '.join(f'greatest(sum(s[{o}]) OVER w / sqrt(1.00001::DOUBLE), 0)' for o in range(1, 9))}] AS h FROM s WINDOW w AS (PARTITION BY utt ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT utt, {D_CLASS} FROM (SELECT vec_id, utt, list_transform(range(0, 10), lambda i: {D_DOT('h[j + 1]', 'i', 8)}) AS l FROM y) GROUP BY utt""")
 def cnn_head(spark, d):
     kernel = np.stack([np.array(W10[:8])] * 5, axis=2) / 5
     one = np.ones(8)
@@ -384,12 +391,15 @@ def src_resources(spark, d):
     return R.resources(r, segments(spark, d).where("start_sec IS NOT NULL AND end_sec IS NOT NULL AND NOT isnan(start_sec) AND NOT isnan(end_sec)")).distinct()
 
 
-@query("SRC07_timestamps")
+@query("SRC07_timestamps", f"SELECT recog_id::VARCHAR AS utt_id, list_transform(words, lambda w: w.word) AS words, list_transform(words, lambda w: w.start) AS starts FROM {D_OFFSETS}")
 def src_timestamps(spark, d):
+    """Words as a list of Python literals, quotes and backslashes escaped, and read again."""
     w = with_offsets(spark, d)
-    item = F.transform("words", lambda x: F.concat(F.lit("{'word': \""), F.regexp_replace(x["word"], '[\\\\"]', ""), F.lit("\", 'start_offset': "), x["start"].cast("string"), F.lit(", 'end_offset': "), x["end"].cast("string"), F.lit(", 'start': None}")))
+    quoted = lambda x: F.regexp_replace(x["word"], '(["\\\\])', "\\\\$1")
+    item = F.transform("words", lambda x: F.concat(F.lit("{'word': \""), quoted(x), F.lit("\", 'start_offset': "), x["start"].cast("string"), F.lit(", 'end_offset': "), x["end"].cast("string"), F.lit(", 'start': None}")))
     path = round_trip(spark, w, F.concat(F.col("recog_id").cast("string"), F.lit("\t["), F.array_join(item, ", "), F.lit("]")), "timestamps")
-    return R.timestamps(spark, path)[0].select("utt_id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: t["start_offset"]).alias("starts"))
+    at = lambda n: F.transform("tokens", lambda t: t[n])
+    return R.timestamps(spark, path)[0].select("utt_id", at("word").alias("words"), at("start_offset").alias("starts"))
 
 
 UTT = f"(SELECT utt_id, max({Q.d_collapse('text')}) AS t FROM transcription WHERE utt_id IS NOT NULL AND text IS NOT NULL GROUP BY utt_id)"

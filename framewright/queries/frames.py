@@ -39,8 +39,8 @@ def paint(spark, d):
     e = events(spark, d).select("recording_id", "label", L.to_frame(F.col("s"), HOP).alias("a"), L.to_frame(F.col("e"), HOP).alias("z"))
     painted = e.select("recording_id", "label", F.explode(L.span(F.col("a"), F.col("z"))).alias("f")).groupBy("recording_id", "f").agg(F.max("label").alias("label"))
     n = e.groupBy("recording_id").agg(F.max("z").alias("n"))
-    held = painted.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("f", "label"))).alias("m"))
-    return n.join(held, "recording_id", "left").select("recording_id", F.transform(L.span(F.lit(0), F.col("n")), lambda f: F.coalesce(F.try_element_at("m", f), F.lit(0))).alias("labels"))
+    held = painted.groupBy("recording_id").agg(F.collect_list(F.struct(F.col("f").alias("frame_idx"), "label")).alias("m"))
+    return n.join(held, "recording_id", "left").select("recording_id", L.dense(F.coalesce("m", F.array().cast("array<struct<frame_idx:int,label:int>>")), F.col("n"), 0).alias("labels"))
 
 
 @query("LBL01_paint_row", f"""SELECT file_path, row_idx, list_transform(range(0, num_frames), lambda f: coalesce(list_max(list_transform(list_filter(ev, lambda x: x.a <= f AND f < x.z), lambda x: x.label)), 0)) AS painted

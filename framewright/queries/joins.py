@@ -86,6 +86,13 @@ def semi_join(spark, d):
     return J.ids_in_lines(line, "line", table(spark, d, "transcription").where("utt_id IS NOT NULL"), "utt_id").select(F.substring_index("line", "\t", 1).alias("utt_id"))
 
 
+@query("JON07_substring", "SELECT DISTINCT line FROM (SELECT 'a' || utt_id || 'b' AS line FROM recog WHERE utt_id IS NOT NULL) l WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT utt_id FROM transcription WHERE utt_id <> '') t WHERE contains(l.line, t.utt_id))")
+def substring_join(spark, d):
+    """Ids anywhere in a line, inside of words too."""
+    line = table(spark, d, "recog").where("utt_id IS NOT NULL").select(F.concat(F.lit("a"), "utt_id", F.lit("b")).alias("line"))
+    return J.ids_in_lines(line, "line", table(spark, d, "transcription"), "utt_id", whole_words=False)
+
+
 @query("JON08_ref_question", f"SELECT r.utt_id, r, coalesce(q, '') AS q FROM {REF} r LEFT JOIN (SELECT utt_id, min(h) AS q FROM {HYP} GROUP BY utt_id) h ON r.utt_id = h.utt_id WHERE r <> ''")
 def ref_question(spark, d):
     q = hyp(spark, d).groupBy("utt_id").agg(F.min("h").alias("q"))

@@ -64,3 +64,21 @@ def test_columns(spark):
 def test_cost_is_the_same_for_all_ties(ties):
     ref, hyp = list("abcabcab"), list("bcaabbc")
     assert sum(o[0] != "C" for o in A.edit_ops(ref, hyp, ties)) == plain(ref, hyp, "mdi")[1]
+
+
+@pytest.mark.parametrize("ties", ["dim", "mid", "mdi"])
+def test_long_pairs_take_the_same_path(ties):
+    """With few rows of the table kept the path is the one of the whole table."""
+    import random
+
+    rng = random.Random(2)
+    for n, m in ((0, 5), (1, 0), (7, 9), (40, 33), (90, 120), (101, 100)):
+        a, b = [rng.choice("abc") for _ in range(n)], [rng.choice("abcd") for _ in range(m)]
+        assert A.edit_ops(a, b, ties, cells=1) == A.edit_ops(a, b, ties)
+
+
+def test_many_different_words(one):
+    """More words than the basic plane has places for; equal words at the end."""
+    words = lambda a, z: F.transform(F.sequence(F.lit(a), F.lit(z)), lambda i: i.cast("string"))
+    assert one(A.distance(words(1, 400), words(2, 401))) == 2
+    assert one(F.size(F.array_distinct(F.transform(F.sequence(F.lit(30000), F.lit(30020)), lambda i: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + i), 8, "0")), "UTF-32"))))) == 21
