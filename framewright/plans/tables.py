@@ -61,7 +61,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and lost executors take nothing along."""
     spark = df.sparkSession
     df.write.parquet(path := staged_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, so that a long job holds only what it needs."""
+    for df in tables:
+        if path := getattr(df, "_staged_path", None):
+            _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

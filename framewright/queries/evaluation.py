@@ -214,13 +214,23 @@ def open_texts(spark, d):
     return docs.select(F.col("doc_id").cast("string").alias("utt_id"), "text")
 
 
-@query("ITR01_rounds")
+# The rule-based responder in the other dialect: the first pair of tags in the first line goes, then marks.
+D_PREFIX = lambda x, t: f"CASE WHEN regexp_matches({x}, '^[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]*?<{t}>[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]*?</{t}>') THEN len(regexp_extract({x}, '^([^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]*?)<{t}>[^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]*?</{t}>', 1)) ELSE 999999999 END"
+D_UNTAG = lambda x, t: f"regexp_replace({x}, '^([^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]*?)<{t}>([^\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]*?)</{t}>', '\\1\\2')"
+D_ONCE = lambda x: f"replace(CASE WHEN {D_PREFIX(x, 'unknown')} <= {D_PREFIX(x, 'unclear')} THEN {D_UNTAG(x, 'unknown')} ELSE {D_UNTAG(x, 'unclear')} END, '<FINAL>', '')"
+D_OPEN = "(contains(text, '<FINAL>') OR NOT regexp_matches(text, '</?unknown>|<del>|</?unclear>'))"
+D_ROUNDS = f"""WITH RECURSIVE r(utt_id, round, text, question, finalized) AS (SELECT doc_id::VARCHAR, 0, text, '', false FROM documents WHERE regexp_matches(text, '</?(unknown|unclear)>|<del>|<FINAL>')
+  UNION ALL SELECT utt_id, round, text, question, {D_OPEN} FROM (SELECT utt_id, round, regexp_replace(once, '<del> ?', '', 'g') AS text, regexp_extract(once, '<(?:unknown|unclear)>([^<]*)<', 1) AS question
+    FROM (SELECT utt_id, round + 1 AS round, {D_ONCE('text')} AS once FROM r WHERE round < 4 AND NOT finalized)))"""
+
+
+@query("ITR01_rounds", f"{D_ROUNDS} SELECT round, finalized, count(*) AS n, count(*) FILTER (question <> '') AS questions FROM r WHERE round > 0 GROUP BY round, finalized")
 def clarification_rounds(spark, d):
     state = D.rounds(open_texts(spark, d), D.rule_responder, D.rule_answerer)
     return state.groupBy("round", "finalized").agg(F.count("*").alias("n"), F.count_if(F.col("question") != "").alias("questions"))
 
 
-@query("ITR02_assembled")
+@query("ITR02_assembled", f"{D_ROUNDS} SELECT utt_id, regexp_replace(text, '</?(unknown|unclear)>|<del>|<FINAL>', '', 'g') AS text FROM r WHERE round = 4 OR round > 0 AND finalized")
 def assembled(spark, d):
     return D.assemble(D.rounds(open_texts(spark, d), D.rule_responder, D.rule_answerer))
 
