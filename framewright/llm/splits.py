@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.plans.scan import ranked
-from framewright.plans.tables import stage
+from framewright.plans.tables import release, stage
 
 # Fillers that name nobody, lower case and trimmed.
 FILLERS = ("", "-", "--", "?", "unknown", "unk", "n/a", "na", "none", "null", "nil", "nan", "anonymous", "anon", "tbd", "not available", "unnamed", "undefined", "missing", "<unk>")
@@ -70,24 +70,30 @@ def components(edges: DataFrame) -> DataFrame:
     hooks: list[DataFrame] = []
     e = stage(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
     while not e.isEmpty():
+        before = e
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stage(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a").select(F.col("a").alias("node"), "p"), "parent")
         while True:  # shortcut: parent of parent, until all parents are roots
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
             jumped = stage(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parent")
+            release(parent)
             parent = jumped.select("node", "p")
+            parent._staged_path = jumped._staged_path
             if jumped.where("moved").isEmpty():
                 break
         hooks.append(parent)
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("p").alias("ra")), parent.select(F.col("node").alias("b"), F.col("p").alias("rb"))
         e = e.join(pa_, "a", "left").join(pb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-        e = stage(e, "edges")
+        old, e = before, stage(e, "edges")
+        release(old)
     if not hooks:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = hooks.pop()
     for parent in reversed(hooks):
         up = found.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        found = stage(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")).unionByName(found), "found")
+        below = found
+        found = stage(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")).unionByName(below), "found")
+        release(parent, below)
     roots = found.select(F.col("p").alias("node")).distinct()
     return found.select("node", F.col("p").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
