@@ -17,7 +17,7 @@ from framewright.operators import metrics as M
 from framewright.operators import tokens as K
 from framewright.plans.tables import staged_path, table
 from framewright.queries import text as Q
-from framewright.queries.align import EQUALITY, LABELS, d_ops, d_paths, pairs
+from framewright.queries.align import EQUALITY, LABELS, d_ops, d_pairs, d_paths, pairs
 from framewright.queries.metrics import JUDGED
 from framewright.queries.joins import D_BEST, D_OFFSETS, segments, with_offsets
 from framewright.sources import readers as R
@@ -40,6 +40,23 @@ def evaluated(spark, d):
     return K.evaluate_words(utterances(spark, d))
 
 
+# The same evaluation in the other dialect. Words are made of whole tokens here, so a word's tokens follow from the lengths.
+D_VOTE = lambda labels: f"list_sum(list_transform(range(w.first, w.first + w.cnt), lambda q: coalesce({labels}[q + 1], 0))) > w.cnt // 2"
+D_EVALUATED = f"""WITH a AS (SELECT recog_id, path, len(hyp) AS n_clean FROM {d_paths(EQUALITY['ALN05_word_eval'][1], A.WORD_TIES)}),
+o AS (SELECT recog_id, words, tokens, len(tokens) AS nt, coalesce(ceil(list_max(list_transform(tokens, lambda t: t.end * 0.08::DOUBLE)) / 0.08::DOUBLE), 0)::INT AS nf FROM {D_OFFSETS}),
+l AS (SELECT *, list_transform(range(0, nt - 1), lambda i: CASE WHEN (i * 3 + recog_id) % 4 = 0 THEN 1 ELSE 0 END) AS intel,
+  list_transform(range(0, nt - 1), lambda i: CASE WHEN (i * 7 + recog_id) % 5 = 0 OR (i * 3 + recog_id) % 4 = 0 THEN 1 ELSE 0 END) AS hear,
+  list_filter(range(0, nf), lambda f: (f * f + recog_id) % 9 < 2 AND len(list_filter(tokens, lambda t: NOT (t.end * 0.08::DOUBLE < greatest(0, f - 1) * 0.08::DOUBLE OR t.start * 0.08::DOUBLE > least(nf, f + 2) * 0.08::DOUBLE))) = 0) AS free,
+  list_filter(list_transform(range(1, len(words) + 1), lambda i: {{'i': i - 1, 'word': words[i].word, 'start': words[i].start * 0.08::DOUBLE, 'cnt': (len(words[i].word) + 1) // 2, 'first': coalesce(list_sum(list_transform(words[1:i - 1], lambda x: (len(x.word) + 1) // 2)), 0)::BIGINT}}),
+    lambda x: regexp_matches(x.word, '[{Q.RE_WORD}]')) AS names FROM o),
+v AS (SELECT *, list_transform(names, lambda w: {D_VOTE('hear')}) AS hv, list_transform(names, lambda w: {D_VOTE('intel')}) AS iv FROM l),
+x AS (SELECT v.recog_id, a.n_clean, v.words, names, iv, list_transform(list_filter(range(1, len(names) + 1), lambda k: (hv[k] OR iv[k]) AND k <= n_clean), lambda k: (k - 1)::INT) AS wrong,
+  list_transform(list_filter(range(1, len(path) + 1), lambda k: path[k] IN ('S', 'I')), lambda k: (len(replace(path[:k], 'D', '')) - 1)::INT) AS truth, list_transform(list_filter(range(1, len(path) + 1), lambda k: path[k] = 'D'), lambda k: len(replace(path[:k], 'D', ''))::INT) AS gone,
+  list_transform(list_filter(free, lambda f: NOT list_contains(free, f - 1)), lambda f: coalesce(list_min(list_filter(range(0, len(names)), lambda k: names[k + 1].start > f * 0.08::DOUBLE)), n_clean)::INT) AS said FROM v JOIN a USING (recog_id)),
+e AS (SELECT *, list_transform(wrong, lambda k: names[k + 1].i::INT) AS "at", list_transform(wrong, lambda k: CASE WHEN iv[k + 1] THEN 'unknown' ELSE 'unclear' END) AS kinds,
+  list_transform(gone, lambda g: CASE WHEN g >= n_clean THEN len(words) ELSE names[g + 1].i END::INT) AS gone_original, list_transform(said, lambda g: CASE WHEN g >= n_clean THEN len(words) ELSE names[g + 1].i END::INT) AS said_original FROM x)"""
+
+
 @query("JON16_predecessor_positions", f"SELECT recog_id, list_transform(list_filter(range(1, len(path) + 1), lambda k: path[k] = 'D'), lambda k: len(replace(path[:k], 'D', ''))::INT) AS positions FROM {d_paths(EQUALITY['ALN05_word_eval'][1], A.WORD_TIES)}")
 def predecessor_positions(spark, d):
     w, _, ties = EQUALITY["ALN05_word_eval"]
@@ -69,7 +86,8 @@ def frame_events(spark, d):
     return rows.select("recog_id", L.label_text(F.transform(L.expand_tokens(e), lambda x: x)).alias("labels"))
 
 
-@query("LBL19_word_times")
+@query("LBL19_word_times", f"""SELECT recog_id, list_transform(words, lambda w: w.word || '|' || round(w.start * 80)::BIGINT || '|' || round(w.end * 80)::BIGINT) AS words FROM {D_OFFSETS}
+  JOIN (SELECT recog_id FROM {d_pairs(lambda x: x)}) USING (recog_id)""")
 def word_times(spark, d):
     """Words of a recognised text with the times of the tokens that hold them."""
     t = utterances(spark, d).select("recog_id", "hyp", "tokens")
@@ -81,36 +99,47 @@ def word_times(spark, d):
         return pd.Series([[{"word": w, "start": a, "end": z} for w, a, z in K.word_times(list(c), list(s), list(e), h.split())] for h, c, s, e in zip(hyp, chars, starts, ends)], dtype=object)
 
     at = lambda n: F.transform("tokens", lambda x: x[n])
-    return t.select("recog_id", run("hyp", F.transform("tokens", lambda x: T.token_first(x["char"])), at("start"), at("end")).alias("words"))
+    ms = lambda x: F.round(x * 1000).cast("long").cast("string")
+    return t.select("recog_id", run("hyp", F.transform("tokens", lambda x: T.token_first(x["char"])), at("start"), at("end")).alias("w")).select("recog_id", F.transform("w", lambda x: F.concat_ws("|", x["word"], ms(x["start"]), ms(x["end"]))).alias("words"))
 
 
-@query("LBL20_word_labels")
+@query("LBL20_word_labels", f"{D_EVALUATED} SELECT recog_id, wrong AS predicted, n_clean::INT AS word_count FROM e")
 def word_labels(spark, d):
     return evaluated(spark, d).select("recog_id", "predicted", "word_count")
 
 
-@query("LBL22_original_positions")
+@query("LBL22_original_positions", f"{D_EVALUATED} SELECT recog_id, \"at\" AS positions FROM e")
 def original_positions(spark, d):
     return evaluated(spark, d).select("recog_id", F.transform("errors", lambda e: e["idx"]).alias("positions"))
 
 
-@query("LBL23_position_remap")
+@query("LBL23_position_remap", f"{D_EVALUATED} SELECT recog_id, gone_original, said_original AS said_gone_original FROM e")
 def position_remap(spark, d):
     return evaluated(spark, d).select("recog_id", "gone_original", "said_gone_original")
 
 
-@query("LBL24_error_types")
+@query("LBL24_error_types", f"{D_EVALUATED} SELECT type, count(*) AS n FROM (SELECT unnest(kinds) AS type FROM e) GROUP BY type")
 def error_types(spark, d):
     e = evaluated(spark, d).select(F.explode("errors").alias("e"))
     return e.groupBy(F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("LBL25_marked_text")
+D_MARKED = f"""list_transform(range(0, len(words)), lambda i: CASE WHEN list_contains(said_original, i) THEN '<del> ' ELSE '' END || CASE WHEN list_contains("at", i) AND regexp_matches(words[i + 1].word, '[{Q.RE_WORD}]')
+  THEN '<' || kinds[list_position("at", i)] || '>' || lower(words[i + 1].word) || '</' || kinds[list_position("at", i)] || '>' ELSE lower(words[i + 1].word) END)"""
+
+
+@query("LBL25_marked_text", f"{D_EVALUATED} SELECT recog_id, array_to_string(list_concat({D_MARKED}, list_transform(list_filter(said_original, lambda p: p >= len(words)), lambda p: '<del>')), ' ') AS marked FROM e")
 def marked_text(spark, d):
     return evaluated(spark, d).select("recog_id", K.mark_text(F.col("words"), F.col("errors"), F.col("said_gone_original")).alias("marked"))
 
 
-@query("AGG13_word_evaluation")
+D_SET = lambda k, t, p, n: f"SELECT '{k}' AS kind, len(list_filter(list_distinct({t}), lambda q: list_contains({p}, q))) AS tp, len(list_filter(list_distinct({p}), lambda q: NOT list_contains({t}, q))) AS fp, len(list_filter(list_distinct({t}), lambda q: NOT list_contains({p}, q))) AS fn FROM e"
+D_BEYOND = lambda x, y: f"list_concat({x}, list_transform({y}, lambda g: (g + n_clean)::INT))"
+
+
+@query("AGG13_word_evaluation", f"""{D_EVALUATED}, c AS ({D_SET('words', 'truth', 'wrong', 'n_clean')} UNION ALL {D_SET('deletions', 'gone_original', 'said_original', '0')} UNION ALL {D_SET('overall', D_BEYOND('truth', 'gone'), D_BEYOND('wrong', 'said'), 'n_clean')}),
+  t AS (SELECT kind, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY kind), q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS r FROM t)
+SELECT kind, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM q""")
 def word_evaluation(spark, d):
     """Corpus scores of word errors, deletions and both, from per-utterance index sets."""
     e = evaluated(spark, d)
