@@ -472,7 +472,7 @@ def register_confidences(name: str) -> None:
     @query(name, CONFIDENCES)
     def run(spark, d):
         """Written as objects of at most 1000 utterances each, and read again."""
-        W.confidence_json(confidence_rows(spark, d), "utt_id", "c").select("value").write.text(path := staged_path(spark, "confidence"))
+        W.confidence_files(confidence_rows(spark, d), "utt_id", "c", path := staged_path(spark, "confidence"))
         return R.confidences(spark, path).select("utt_id", F.transform("word_confidence", lambda v: F.round(v.cast("double"), 4)).alias("confidences"))
 
 

@@ -44,6 +44,11 @@ def confidence_json(df: DataFrame, key: str, values: str, per_object: int = 1000
     return fixed_shards(df, key, per_object).groupBy("shard").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
 
 
+def confidence_files(df: DataFrame, key: str, values: str, path: str, per_object: int = 1000) -> None:
+    """The objects of ``confidence_json``, each in a file of its own, as readers of whole files expect."""
+    confidence_json(df, key, values, per_object).select("shard", "value").write.partitionBy("shard").text(path)
+
+
 def metrics_json(counts: DataFrame, key: str, path: str) -> None:
     """tp, fp, fn, tn of each key with accuracy, precision, recall and F1 as JSON lines."""
     from framewright.operators.metrics import binary_scores, ratio

@@ -215,3 +215,12 @@ def test_a_stream_keeps_all_rows(spark, tmp_path):
     spark.range(500).withColumn("s", F.lit("x")).repartition(7).write.parquet(at := f"file://{tmp_path}/in")
     out = R.streamed(spark, at, f"file://{tmp_path}/out", f"file://{tmp_path}/progress", "id")
     assert sorted(r.id for r in out.collect()) == list(range(500))
+
+
+def test_confidences_in_several_objects(spark, tmp_path):
+    from framewright.sources import writers as W
+
+    df = spark.createDataFrame([(f"u{k:03d}", [0.25 * (k % 4)]) for k in range(95)], "k string, c array<float>")
+    W.confidence_files(df, "k", "c", f"file://{tmp_path}/c", 10)
+    got = {r.utt_id: r.word_confidence for r in R.confidences(spark, f"file://{tmp_path}/c").collect()}
+    assert got == {f"u{k:03d}": [0.25 * (k % 4)] for k in range(95)}
