@@ -132,10 +132,14 @@ def packed_events(key: Column, total: Column, kinds: Column, seed: int, lo: floa
 
     def place(placed: Column, w: Column) -> Column:
         room = total + w["minus"]
-        starts = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.pmod(w["u"] + i * F.lit(GOLDEN), F.lit(1.0)) * room)
-        free = F.filter(starts, lambda a: ~F.exists(placed, lambda e: (a - w["minus"] + gap > e["start"]) & (a < e["end"] + gap)))
+        at = lambda lo, hi: F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda i: F.pmod(w["u"] + i * F.lit(GOLDEN), F.lit(1.0)) * room)
+        ok = lambda a: ~F.exists(placed, lambda e: (a - w["minus"] + gap > e["start"]) & (a < e["end"] + gap))
+        # Later tries are only computed if the early ones find no room.
+        cuts = [0, *[c for c in (4, 16) if c < tries], tries]
+        found = F.array(F.coalesce(*[F.get(F.filter(at(lo, hi), ok), F.lit(0)) for lo, hi in zip(cuts, cuts[1:], strict=False)]))
+        free = F.filter(found, lambda a: a.isNotNull())
         snr = F.when(w["type"].isin("noise", "interference"), w["s"] * 25.0 - 5.0)
-        first = F.transform(F.slice(free, 1, 1), lambda a: F.struct(w["type"].alias("type"), label(w["type"]).cast("int").alias("label"), a.alias("start"), (a - w["minus"]).alias("end"), snr.alias("snr_db")))
+        first = F.transform(free, lambda a: F.struct(w["type"].alias("type"), label(w["type"]).cast("int").alias("label"), a.alias("start"), (a - w["minus"]).alias("end"), snr.alias("snr_db")))
         return F.when(room > 0, F.concat(placed, first.cast(EVENT))).otherwise(placed)
 
     order = F.array_sort(F.flatten(F.transform(kinds, wanted)))
