@@ -4,7 +4,7 @@ Sound is fingerprinted by similarity-hash bits that survive gain, noise, trimmin
 local peak of the absolute signal, two codes of 48 bits say whether the samples before and after it, nearest first, have the
 peak's sign. Every peak is thus in two permuted tables, one led by the bits before it and one by the bits after it. A table is
 joined on the first ``width`` bits of its code, where the evaluation side also looks up the codes with one of its four or two of
-its three weakest bits turned; the width grows with the logarithm of the training rows, so chance matches stay in proportion to the input.
+its three weakest bits turned; the width is fixed, so rows that are added to the table change nothing for the pairs of the others.
 Pairs stay if the next bits and those of the other code lie within a Hamming radius, and are verified on the samples: the
 correlation over the overlap at their offset. Slow sounds get codes from the signal averaged over four samples as well; sounds without two
 telling codes get one for all of their samples.
@@ -28,7 +28,8 @@ from framewright.plans.tables import release, ship, stage
 
 PEAK = 8  # a peak is no smaller than the samples this far around it
 BITS = 48
-LEAST_WIDTH, SPARE = 24, 8  # bits of a join key: SPARE more than the logarithm of the training rows, so a code meets some 2^-4 others by chance
+LEAST_WIDTH, SPARE = 24, 8  # bits of a join key: SPARE more than the logarithm of the training rows it is meant for, of which a code then meets some 2^-4 by chance
+MEANT_FOR = 1 << 16  # training rows; the number that the input has must not decide, since wider keys find fewer pairs
 RADIUS = 1 / 3  # of the bits that are compared after the join
 WEAK = 4  # bits of the smallest samples, which are turned on the evaluation side
 TURNS = ((0,), (1,), (2,), (3,), (0, 1), (0, 2), (1, 2))  # the smallest sample is 0
@@ -212,13 +213,16 @@ class CrossSplit:
     Repeated rows count once. An empty table gives no pairs. No number of partners is limited; a key that very many rows
     share is an equi-join that AQE splits, and its pairs are reduced by the other bits of their codes before anything is
     written. An archive_id must stand for one waveform.
+
+    ``meant_for`` sets the width of the join keys. A larger number makes chance matches rarer, which grow with the training rows
+    times the evaluation rows, and misses some more pairs; what is found never depends on the number of rows that there are.
     """
 
-    def __init__(self, archive: DataFrame, train: str = "train", evals: tuple[str, ...] = ("valid", "test"), radius: float = RADIUS, least: float = SAME):
+    def __init__(self, archive: DataFrame, train: str = "train", evals: tuple[str, ...] = ("valid", "test"), radius: float = RADIUS, least: float = SAME, meant_for: int = MEANT_FOR):
         ship(archive.sparkSession)
         side = F.when(F.col("split_name") == train, 1).when(F.col("split_name").isin(*evals), 2)
         rows = archive.where(side.isNotNull() & F.col("archive_id").isNotNull())
-        bits = width(rows.where(side == 1).count())
+        bits = width(meant_for)
         sounds = F.coalesce(F.exists("audio", lambda x: x != 0), F.lit(False))
         heard = F.when(sounds, F.col("audio"))
         given = rows.select("archive_id", "uttid", side.alias("side"), "split_name", "dataset", F.when(sounds, F.xxhash64("audio")).alias("h1"), F.when(sounds, F.xxhash64(F.lit(7), "audio")).alias("h2"), heard.alias("audio"))

@@ -121,3 +121,12 @@ def test_hot_families(spark):
     rows = [(k, None, f(base * (1 + k % 3)), 1, ("train", "test")[k % 2], "d") for k in range(60)] + [(100 + k, None, f(rng.normal(size=200)), 1, ("train", "valid")[k % 2], "d") for k in range(120)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r.archive_id_a, r.archive_id_b) for r in C.overlaps(df).collect()} == {(min(i, j), max(i, j)) for i in range(0, 60, 2) for j in range(1, 60, 2)}
+
+
+def test_width_whatever_the_rows(spark, monkeypatch):
+    """Keys are as wide in a large table as in a small one."""
+    asked, real = [], C.width
+    monkeypatch.setattr(C, "width", lambda n: asked.append(n) or real(n))
+    for n in (1, 3):
+        C.CrossSplit(spark.createDataFrame([(k, None, [0.5, -0.5], 1, "train", "d") for k in range(n)], SCHEMA))
+    assert asked[0] == asked[1]
